@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
@@ -36,3 +38,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small(df: DataFrame, most: int = BROADCAST_ROW_BOUND) -> DataFrame:
     """Hints a broadcast only after counting that the side has at most `most` rows; else leaves the join to shuffle."""
     return broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers through Spark's own file server, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    if root.parent.suffix != ".zip":
+        path = os.path.join(tempfile.mkdtemp(prefix="carbonweave-"), "carbonweave.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
