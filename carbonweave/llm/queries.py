@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carbonweave.llm import copies
+from carbonweave.llm import canonical, copies
 from carbonweave.session import table
 
 TRIPLES = "chipotle_2024_triples"
@@ -21,5 +21,9 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse_copies(table(spark, d, TRIPLES), "triple_id", _CONTENT, ["subject", "object_value"])
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_to_canonical(table(spark, d, TRIPLES), "triple_id", "predicate", table(spark, d, "predicate_catalog"), "predicate_id", "predicate")
+
+
+QUERIES = {"p3_found": p3_found, "p2_found": p2_found, "p2_collapsed": p2_collapsed}
 SQL: dict[str, str] = {}
