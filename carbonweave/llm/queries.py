@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carbonweave.llm import canonical, copies
+from carbonweave.llm import canonical, copies, encoding, leakage, packing
 from carbonweave.session import table
 
+#: Where the public tokenizer's files lie; a deployment sets its own folder.
+TOKENIZERS = os.environ.get("CARBONWEAVE_TOKENIZERS", "/opt/tokenizers")
+#: Fixed value: the pattern that cuts text into words before the byte-pair merges.
+WORD_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TRIPLES = "chipotle_2024_triples"
 _CONTENT = ["subject", "predicate", "object_value", "metadata"]
 
@@ -25,5 +31,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_to_canonical(table(spark, d, TRIPLES), "triple_id", "predicate", table(spark, d, "predicate_catalog"), "predicate_id", "predicate")
 
 
-QUERIES = {"p3_found": p3_found, "p2_found": p2_found, "p2_collapsed": p2_collapsed}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
+
+
+def p7_where(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = packing.token_counts(table(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", WORD_PATTERN)
+    return packing.pack(sizes.withColumnRenamed("doc", "doc_id"), "doc_id", "n_tokens")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    fixed = encoding.repair(table(spark, d, "documents"), "doc_id", "text", "lang", "source")
+    return fixed.select("doc_id", F.coalesce(F.md5(F.col("restored").cast("binary")), F.lit("")).alias("restored_md5"))
+
+
+QUERIES = {"p6_packed": p6_packed, "p7_found": p7_found, "p7_where": p7_where, "p8_found": p8_found, "p3_found": p3_found, "p2_found": p2_found, "p2_collapsed": p2_collapsed}
 SQL: dict[str, str] = {}
