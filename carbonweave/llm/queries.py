@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carbonweave.llm import canonical, copies, encoding, leakage, packing
+from carbonweave.llm import canonical, copies, encoding, leakage, packing, variants
 from carbonweave.session import table
 
 #: Where the public tokenizer's files lie; a deployment sets its own folder.
@@ -44,10 +44,15 @@ def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes.withColumnRenamed("doc", "doc_id"), "doc_id", "n_tokens")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    triples = table(spark, d, TRIPLES)
+    return variants.link_spellings([(triples, "subject", True), (triples, "object_value", False), (table(spark, d, "erp_records"), "supplier_name", True)])
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     fixed = encoding.repair(table(spark, d, "documents"), "doc_id", "text", "lang", "source")
     return fixed.select("doc_id", F.coalesce(F.md5(F.col("restored").cast("binary")), F.lit("")).alias("restored_md5"))
 
 
-QUERIES = {"p6_packed": p6_packed, "p7_found": p7_found, "p7_where": p7_where, "p8_found": p8_found, "p3_found": p3_found, "p2_found": p2_found, "p2_collapsed": p2_collapsed}
+QUERIES = {"p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p7_where": p7_where, "p8_found": p8_found, "p3_found": p3_found, "p2_found": p2_found, "p2_collapsed": p2_collapsed}
 SQL: dict[str, str] = {}
