@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carbonweave.llm import canonical, copies, encoding, leakage, packing, variants
+from carbonweave.llm import canonical, copies, encoding, leakage, matching, packing, variants
 from carbonweave.session import table
 
 #: Where the public tokenizer's files lie; a deployment sets its own folder.
@@ -44,6 +44,17 @@ def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes.withColumnRenamed("doc", "doc_id"), "doc_id", "n_tokens")
 
 
+_ENTITY_COLUMNS = {"id": "erp_id", "name": "supplier_name", "region": "region", "category": "spend_category", "spend": "annual_spend_usd", "subject": "subject", "predicate": "predicate", "value": "object_value"}
+
+
+def p4_matched(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match_entities(table(spark, d, "erp_records"), table(spark, d, TRIPLES), _ENTITY_COLUMNS)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_matched(spark, d).select("erp_id", "subject_key")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     triples = table(spark, d, TRIPLES)
     return variants.link_spellings([(triples, "subject", True), (triples, "object_value", False), (table(spark, d, "erp_records"), "supplier_name", True)])
@@ -54,5 +65,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return fixed.select("doc_id", F.coalesce(F.md5(F.col("restored").cast("binary")), F.lit("")).alias("restored_md5"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p7_where": p7_where, "p8_found": p8_found, "p3_found": p3_found, "p2_found": p2_found, "p2_collapsed": p2_collapsed}
+QUERIES = {"p4_found": p4_found, "p4_matched": p4_matched, "p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p7_where": p7_where, "p8_found": p8_found, "p3_found": p3_found, "p2_found": p2_found, "p2_collapsed": p2_collapsed}
 SQL: dict[str, str] = {}
