@@ -271,18 +271,50 @@ def hashed(df: DataFrame, id_col: str, columns: list[str], required: list[str],
     return src.mapInArrow(run, "cw_id bigint, h1 bigint, h2 bigint" + kinds)
 
 
-def _matched(pairs: DataFrame, columns: int) -> DataFrame:
-    """first, copy, ok: the skipping comparison of each copy's raw columns with its group's first row."""
+def _compare(batch: pa.RecordBatch, heads: pa.RecordBatch, width: int) -> np.ndarray:
+    """Row by row: whether the raw columns b0, b1, ... of both batches have equal content."""
+    ok = np.ones(batch.num_rows, bool)
+    for k in range(width):
+        x, y = heads.column(f"b{k}"), batch.column(f"b{k}")
+        ok &= same_maps(x, y) if _is_map(x.type) else same_symbols(x, y)
+    return ok
+
+
+def _tested(first: pa.Array, batch: pa.RecordBatch, ok: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([first, batch.column("cw_id"), pa.array(ok)], ["first", "copy", "ok"]).filter(pa.array(keep))
+
+
+def _walked(members: DataFrame, width: int) -> DataFrame:
+    """first, copy, ok over rows that lie group by group, each group's first row ahead: one pass, one head in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ok = np.ones(batch.num_rows, bool)
-            for k in range(columns):
-                x, y = batch.column(f"a{k}"), batch.column(f"b{k}")
-                ok &= same_maps(x, y) if _is_map(x.type) else same_symbols(x, y)
-            yield pa.RecordBatch.from_arrays([batch.column("first"), batch.column("copy"), pa.array(ok)], ["first", "copy", "ok"])
+            rows = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
+            first, ids = np.asarray(rows.column("first")), np.asarray(rows.column("cw_id"))
+            edge = np.concatenate([[True], first[1:] != first[:-1]])
+            head = np.flatnonzero(edge)[np.cumsum(edge) - 1]
+            keep = ids != first
+            if held is not None:
+                keep[0] = False
+            # A head from elsewhere proves nothing: such rows count as untested and are regrouped exactly.
+            ok = _compare(rows, rows.take(pa.array(head)), width) & (ids[head] == first)
+            yield _tested(rows.column("first"), rows, ok, keep)
+            held = rows.slice(int(head[-1]), 1)
+
+    return members.mapInArrow(run, "first bigint, copy bigint, ok boolean")
+
+
+def _beside(pairs: DataFrame, width: int) -> DataFrame:
+    """first, copy, ok of rows that carry their head's columns a0, a1, ... along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                heads = pa.RecordBatch.from_arrays([batch.column(f"a{k}") for k in range(width)], [f"b{k}" for k in range(width)])
+                yield _tested(batch.column("first"), batch, _compare(batch, heads, width), np.ones(batch.num_rows, bool))
 
     return pairs.mapInArrow(run, "first bigint, copy bigint, ok boolean")
 
@@ -323,17 +355,20 @@ def find_copies(df: DataFrame, id_col: str, columns: list[str], required: list[s
     rows = hashed(df, id_col, columns, required, raw=True)
     width = len(columns)
 
-    def compared(keys: DataFrame, hot: bool) -> DataFrame:
-        hint = F.broadcast if hot else lambda x: x
-        members = rows.join(hint(keys.select("h1", "h2", "first")), ["h1", "h2"])
+    keys = groups.select("h1", "h2", "first", "n")
+    hot = keys.where(F.col("n") > hot_bound).drop("n")
+    is_hot = not hot.isEmpty()
+    # Rows of hot groups take the broadcast way and stay out of the shuffle.
+    cool_rows = rows.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti") if is_hot else rows
+    # A fixed number of partitions keeps each group whole: nothing splits them later.
+    laid = cool_rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h1", "h2")
+    cool = laid.join(keys.where(F.col("n") <= hot_bound).drop("n"), ["h1", "h2"]).sortWithinPartitions("h1", "h2", "first", "cw_id")
+    parts = _walked(cool.select("cw_id", "first", *[f"b{k}" for k in range(width)]), width)
+    if is_hot:
+        members = rows.join(F.broadcast(hot), ["h1", "h2"])
         heads = members.where("cw_id = first").select("h1", "h2", *[F.col(f"b{k}").alias(f"a{k}") for k in range(width)]).dropDuplicates(["h1", "h2"])
-        return members.where("cw_id <> first").join(hint(heads), ["h1", "h2"]).select("first", F.col("cw_id").alias("copy"), *[f"a{k}" for k in range(width)], *[f"b{k}" for k in range(width)])
-
-    pairs = compared(groups.where(F.col("n") <= hot_bound), False)
-    hot_groups = groups.where(F.col("n") > hot_bound)
-    if not hot_groups.isEmpty():
-        pairs = pairs.unionByName(compared(hot_groups, True))
-    tested = cut(_matched(pairs, width))
+        parts = parts.unionByName(_beside(members.where("cw_id <> first").join(F.broadcast(heads), ["h1", "h2"]), width))
+    tested = cut(parts)
     right = tested.where("ok").select("first", "copy").distinct()
     wrong = tested.where("not ok").select("copy").distinct()
     if wrong.isEmpty():
