@@ -18,6 +18,8 @@ Defined results
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,8 @@ ALIASES = {
 #: Words and signs for thousands and millions.
 SCALES = {"k": 1e3, "thousand": 1e3, "thousands": 1e3, "000": 1e3, "'000": 1e3, "000s": 1e3, "'000s": 1e3, "m": 1e6, "mn": 1e6, "mio": 1e6, "mln": 1e6, "million": 1e6, "millions": 1e6}
 
+MOST_UNITS = 10_000
+
 _NUMBER = r"\d+(?:[ '.,]\d{3}(?!\d))*(?:[.,]\d+)?(?:e[+-]?\d+(?!\d))?"
 _SIGN = r"(?:(?<![a-z])minus |(?<![\w.,)])-)?"
 _WORDS = r"'?000s?|thousands?|millions?|mio|mln|mn"
@@ -69,10 +73,9 @@ _SCALE = rf"(?:{_TIGHT}|\s+(?:{_WORDS})(?![a-z0-9]))"
 _NOT_A_QUANTITY = r"\b(?:fy|scopes?|iso|in|across|of|per|by|since|page|p\.|year|no\.)[ -]?\d[\d.,]*(?! ?%)|\b(?:19|20)\d\d (?:total|figure|value)\b"
 
 
-def _alternatives(aliases: dict[str, list[str]]) -> str:
-    words = sorted({a for v in aliases.values() for a in v}, key=lambda a: (-len(a), a))
-    # A bare m straight after the digits is the sign for million, not the metre.
-    return "|".join((r"(?<![0-9])" if a == "m" else "") + a.replace(".", r"\.").replace("(", r"\(").replace(")", r"\)") for a in words)
+def _alternatives(words: set[str]) -> str:
+    """Longest first. A bare m straight after the digits is the sign for million, not the metre."""
+    return "|".join((r"(?<![0-9])" if a == "m" else "") + re.sub(r"([^\w °])", r"\\\1", a) for a in sorted(words, key=lambda a: (-len(a), a)))
 
 
 #: Blanks, quotes, minus signs and raised or lowered digits, each folded to the plain sign.
@@ -117,7 +120,10 @@ def to_common_units(rows: DataFrame, factors: DataFrame, id_col: str = "triple_i
     `factors` holds unit, quantity_kind, common_unit, factor, offset_value. `source_default` is an
     expression over `rows` for the unit of sources that never write one.
     """
-    units = _alternatives(aliases)
+    listed = [r[0] for r in factors.select(fold_text(F.col("unit"))).where("unit is not null").limit(MOST_UNITS + 1).collect()]
+    if len(listed) > MOST_UNITS:
+        raise ValueError(f"a table of units has at most {MOST_UNITS} rows")
+    units = _alternatives({a for v in aliases.values() for a in v} | set(listed))
     tail = r"(?![a-z0-9_])"
     attached = rf"^(.*?)({_SIGN})({_NUMBER})({_SCALE})?\s*[\[(]?({units}){tail}(.*)$"
     leading = rf"^(.*?)(?<![a-z0-9/.])({units}){tail}\s*[:=]?\s*({_SIGN})({_NUMBER})({_SCALE})?(?![a-z0-9/%])(.*)$"
