@@ -53,6 +53,14 @@ def stem(t: str) -> str:
     return t
 
 
+def letters(t: str) -> int:
+    """The set of characters as bits, for a cheap first look."""
+    out = 0
+    for c in t:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
 def is_subsequence(a: str, b: str) -> bool:
     it = iter(b)
     return all(c in it for c in a)
@@ -60,6 +68,8 @@ def is_subsequence(a: str, b: str) -> bool:
 
 def fold(s: str) -> str:
     """Compatibility form, lower case, accents dropped."""
+    if s.isascii():
+        return s.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", s).lower() if not unicodedata.combining(c))
 
 

@@ -22,7 +22,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,8 +92,7 @@ def parsed(names: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     spec = (vocabulary.full, vocabulary.descriptors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary({}, {})
-        v.full, v.descriptors = spec
+        v = Vocabulary.of(*spec)
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -129,13 +130,14 @@ def _blocked(profiles: DataFrame, most: int) -> DataFrame:
             kinds, propers, seconds = (batch.column(c).to_pylist() for c in ("kind", "propers", "seconds"))
             for k, (kind, ps, ss) in enumerate(zip(kinds, propers, seconds)):
                 heads = [f"o|{s}|" for s in ss] if kind == "o" else [f"p|{i}|" for i in {s[:1] for s in ss}]
-                for b in {h + w for h in heads for p in ps for w in shortened(p, most)}:
-                    rows.append(k)
-                    blocks.append(b)
-            out = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.string()), out.column("cluster")], ["block", "cluster"])
+                own = {xxhash.xxh3_64_intdigest(h + w) for h in heads for p in ps for w in shortened(p, most)}
+                rows += [k] * len(own)
+                blocks += own
+            out = batch.column("cluster").take(pa.array(rows, pa.int64()))
+            # Blocks travel as numbers; two blocks that fell together would only cost a comparison.
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(blocks, np.uint64).view(np.int64)), out], ["block", "cluster"])
 
-    return profiles.mapInArrow(run, "block string, cluster string")
+    return profiles.mapInArrow(run, "block bigint, cluster string")
 
 
 def near(a: list[str], b: list[str]) -> int:
@@ -174,11 +176,17 @@ def compare(kind: str, a: tuple[list[str], ...], b: tuple[list[str], ...]) -> tu
     return (1, d + (1 if clash else 0))
 
 
-def _links(profiles: DataFrame, most: int) -> DataFrame:
-    """Matches of one round as (a, b), a < b."""
+def _links(profiles: DataFrame, most: int, changed: DataFrame | None) -> DataFrame:
+    """Scored candidates of one round, a < b; changed: the clusters that grew in the round before."""
     blocks = _blocked(profiles, most)
-    other = blocks.withColumnRenamed("cluster", "other")
-    pairs = blocks.join(other, "block").where("cluster < other").select("cluster", "other").distinct()
+    if changed is None:
+        other = blocks.withColumnRenamed("cluster", "other")
+        pairs = blocks.join(other, "block").where("cluster < other").select("cluster", "other").distinct()
+    else:
+        # Only a profile that grew can find new partners: its blocks meet those of all others.
+        grown = _blocked(profiles.join(changed, "cluster", "left_semi"), most).withColumnRenamed("cluster", "other")
+        met = blocks.join(grown, "block").where("cluster <> other")
+        pairs = met.select(F.least("cluster", "other").alias("cluster"), F.greatest("cluster", "other").alias("other")).distinct()
     side = lambda p: profiles.select(F.col("cluster").alias("cluster" if p == "a" else "other"), *([F.col("kind")] if p == "a" else []), *[F.col(c).alias(f"{p}_{c}") for c in ("propers", "seconds", "thirds", "legals")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,18 +209,19 @@ def _links(profiles: DataFrame, most: int) -> DataFrame:
     return scored
 
 
-def _settled(scored: DataFrame) -> DataFrame:
-    """Sure matches, and of each vague profile the nearest candidates if they agree among themselves."""
+def _settled(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links: sure matches, and of each vague profile the nearest candidates if they agree among themselves. And the profiles whose candidates disagree."""
     sure = scored.where("strength = 2").select("a", "b")
     vague = scored.where("strength = 1")
     best = vague.groupBy("vague").agg(F.min("edits").alias("least"))
     nearest = vague.join(best, "vague").where("edits = least")
-    single = nearest.groupBy("vague").agg(F.countDistinct("tells").alias("kinds")).where("kinds = 1").select("vague")
-    return sure.unionByName(nearest.join(single, "vague").select("a", "b")).distinct()
+    kinds = nearest.groupBy("vague").agg(F.count_distinct("tells").alias("kinds"))
+    single = kinds.where("kinds = 1").select("vague")
+    return sure.unionByName(nearest.join(single, "vague").select("a", "b")).distinct(), kinds.where("kinds > 1").select(F.col("vague").alias("cluster"))
 
 
-def _merged(records: DataFrame, links: DataFrame) -> DataFrame:
-    """Clusters that the links connect become one, named by the smallest of them."""
+def _labels(links: DataFrame) -> DataFrame:
+    """(a, label): each linked cluster and the smallest cluster it is connected with."""
     edges = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
     label = cut(label)
@@ -222,18 +231,24 @@ def _merged(records: DataFrame, links: DataFrame) -> DataFrame:
         label = nxt.select("a", "label")
         if nxt.where("changed").isEmpty():
             break
-    return records.join(label.withColumnRenamed("a", "cluster"), "cluster", "left").withColumn("cluster", F.coalesce("label", "cluster")).drop("label")
+    return label
 
 
 def resolve(records: DataFrame, most: int = 2, rounds: int = MOST_ROUNDS) -> DataFrame:
     """records with their entity as column cluster."""
     same = records.groupBy("kind", "proper", "second", "third").agg(F.min("key").alias("cluster"))
     current = cut(records.join(same, ["kind", "proper", "second", "third"]))
+    changed = None
     for _ in range(rounds):
-        links = cut(_settled(_links(cut(_profiles(current)), most)))
+        scored = cut(_links(cut(_profiles(current)), most, changed))
+        links, torn = _settled(scored)
+        links = cut(links)
         if links.isEmpty():
             break
-        current = cut(_merged(current, links))
+        label = _labels(links)
+        current = cut(current.join(label.withColumnRenamed("a", "cluster"), "cluster", "left").withColumn("cluster", F.coalesce("label", "cluster")).drop("label"))
+        # A profile whose candidates disagree is judged anew against all of them.
+        changed = label.select(F.col("label").alias("cluster")).unionByName(torn).distinct()
     return current
 
 
