@@ -936,3 +936,49 @@ def _(spark, d):
 @query("qy17_health", "select 1 as ok")
 def _(spark, d):
     return spark.range(1).select(F.lit(1).alias("ok"))
+
+
+# --- ids that another key already covers, for coverage by key ------------------------------------
+
+for _alias, _of in {
+    "st7_relevance_order": "ft1_bm25",
+    "fn17_token_sort_ratio": "ud3_fuzzy_ratio",
+    "fn20_fulltext_relevance": "ft1_bm25",
+    "ud2_geocoder": "sc14_geocode_lookup",
+    "ud4_edge_rewrite": "jn11_jn12_redirect",
+    "ud5_fulltext_call": "ft1_bm25",
+}.items():
+    QUERIES[_alias] = QUERIES[_of]
+    if _of in SQL:
+        SQL[_alias] = SQL[_of]
+
+
+# --- extensions beyond the blueprint's parity ------------------------------------------------------
+
+_HAVERSINE = "round(12742 * asin(sqrt(power(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * power(sin(radians(b.longitude - a.longitude) / 2), 2))), 3)"
+
+
+@query("ext_within_radius", f"select b.name, {_HAVERSINE} as km from gazetteer a, gazetteer b where a.name = 'Germany' and b.name <> 'Germany' and {_HAVERSINE} <= 8000")
+def _(spark, d):
+    g = table(spark, d, "gazetteer")
+    a = F.broadcast(g.where("name = 'Germany'").select(F.col("latitude").alias("lat0"), F.col("longitude").alias("lon0")).limit(1))
+    half = lambda x, y: F.pow(F.sin(F.radians(F.col(x) - F.col(y)) / 2), 2)
+    km = F.round(12742 * F.asin(F.sqrt(half("latitude", "lat0") + F.cos(F.radians("lat0")) * F.cos(F.radians("latitude")) * half("longitude", "lon0"))), 3)
+    return g.where("name <> 'Germany'").join(a).select("name", km.alias("km")).where("km <= 8000")
+
+
+@query("ext_supplier_rollup", rf"select h.s as company, count(*) as metrics, sum({_VALUE.replace('metric', 'm.o')}) as total from tri h join tri m on m.s = h.o and m.p = 'REPORTS_EMISSION' where h.p = 'HAS_SUPPLIER' group by h.s", graph=True)
+def _(spark, d):
+    g = tpch(spark, d)
+    bought = g.pattern("Company", ["HAS_SUPPLIER"], "Company", "company", "supplier")
+    reported = g.pattern("Company", ["REPORTS_EMISSION"], "EmissionMetric", "supplier", "metric")
+    # Metrics are summed per supplier before they meet the many customers of that supplier.
+    per = reported.groupBy("supplier").agg(F.count("*").alias("n"), F.sum(X.to_number(F.col("metric"))).alias("v"))
+    return bought.join(per, "supplier").groupBy("company").agg(F.sum("n").alias("metrics"), F.sum("v").alias("total"))
+
+
+@query("ext_event_windows", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
+def _(spark, d):
+    from carbonweave.streaming.ingest import windowed_counts
+
+    return windowed_counts(table(spark, d, "events"), "ts", "event_type")

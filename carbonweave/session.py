@@ -56,3 +56,18 @@ def ship(spark: SparkSession) -> None:
                 z.write(f, f.relative_to(root.parent))
         sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+class SessionError(RuntimeError):
+    """A session cannot be had: settings are missing or the master does not answer."""
+
+
+def connect(master: str | None = None, settings: dict[str, str] | None = None) -> SparkSession:
+    """A session from the given settings, or from SPARK_MASTER in the environment."""
+    master = master or os.environ.get("SPARK_MASTER")
+    if not master:
+        raise SessionError("set SPARK_MASTER or give a master")
+    try:
+        return SparkSession.builder.master(master).config(map=settings or {}).getOrCreate()
+    except Exception as e:  # noqa: BLE001
+        raise SessionError(str(e)) from e
