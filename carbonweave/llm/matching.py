@@ -37,9 +37,11 @@ SPEND_TOLERANCE = 0.12
 _MONEY = r"(?i)(?:usd|\$|us\$)\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(million|mn|m|k|thousand|bn|billion)?|([0-9][0-9,]*(?:\.[0-9]+)?)\s*(million|mn|m|k|thousand|bn|billion)?\s*(?:usd|us\$|dollars)"
 
 
-def about(predicate: str, wanted: str) -> F.Column:
-    """Whether a freely typed predicate is the wanted one, up to two slips."""
-    return F.levenshtein(key_column(F.col(predicate)), F.lit(wanted.replace("_", "").lower())) <= 2
+def meaning_of(predicate: F.Column) -> F.Column:
+    """Which of the three facts a freely typed predicate states, up to two slips; null for none."""
+    p = key_column(predicate)
+    near = lambda wanted: F.length(p).between(len(wanted) - 2, len(wanted) + 2) & (F.levenshtein(p, F.lit(wanted), 2).between(0, 2))
+    return F.when(near("operatesin"), "region").when(near("belongstocategory"), "category").when(near("reportspurchase"), "spend")
 
 
 def money(c: F.Column) -> F.Column:
@@ -51,11 +53,10 @@ def money(c: F.Column) -> F.Column:
 
 def subject_records(triples: DataFrame, subject: str, predicate: str, value: str) -> tuple[DataFrame, DataFrame]:
     """(key, spend) and (key, kind, value): what the triples say of each key."""
-    said = triples.select(key_column(F.col(subject)).alias("key"), F.col(predicate).alias("predicate"), F.col(value).cast("string").alias("value")).where("key <> '' and predicate is not null and value is not null")
-    spend = said.where(about("predicate", "REPORTS_PURCHASE")).select("key", money(F.col("value")).alias("spend")).where("spend > 0").groupBy("key").agg(F.percentile_approx("spend", 0.5).alias("spend"))
-    region = said.where(about("predicate", "OPERATES_IN")).select("key", F.lit("region").alias("kind"), key_column(F.col("value")).alias("value"))
-    category = said.where(about("predicate", "BELONGS_TO_CATEGORY")).select("key", F.lit("category").alias("kind"), key_column(F.col("value")).alias("value"))
-    facts = region.unionByName(category).where("value <> ''").groupBy("key", "kind", "value").agg(F.count("*").alias("n"))
+    said = triples.select(F.col(subject).cast("string").alias("s"), meaning_of(F.col(predicate).cast("string")).alias("kind"), F.col(value).cast("string").alias("v")).where("kind is not null and s is not null and v is not null")
+    told = cut(said.groupBy(key_column(F.col("s")).alias("key"), "kind", "v").agg(F.count("*").alias("n")).where("key <> ''"))
+    spend = told.where("kind = 'spend'").select("key", money(F.col("v")).alias("spend")).where("spend > 0").groupBy("key").agg(F.percentile_approx("spend", 0.5).alias("spend"))
+    facts = told.where("kind <> 'spend'").groupBy("key", "kind", key_column(F.col("v")).alias("value")).agg(F.sum("n").alias("n")).where("value <> ''")
     return spend, facts
 
 
@@ -143,7 +144,6 @@ def match_entities(registry: DataFrame, triples: DataFrame, columns: dict[str, s
     spend, facts = subject_records(triples, c["subject"], c["predicate"], c["value"])
     subjects = triples.select(key_column(F.col(c["subject"]).cast("string")).alias("key")).where("key <> ''").distinct()
     keyed = cut(subjects.join(parts.select("key", "proper", "second", "third", "legal"), "key", "left"))
-    facts = cut(facts)
 
     # Rules 1 and 2 need no attributes; their pairs teach what the typed regions and categories mean.
     org_names = reg.select("org", "name_key", "proper", "second", "third").distinct()
