@@ -110,10 +110,12 @@ def _scored(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def _one_org_each(pairs: DataFrame) -> DataFrame:
     """Of each key's candidates the best; keys with two equally good organisations are left out."""
+    pairs = cut(pairs)
     best = pairs.groupBy("key").agg(F.max(F.struct(-F.col("edits"), F.col("votes"))).alias("top"))
     top = pairs.join(best, "key").where((-F.col("edits") == F.col("top.col1")) & (F.col("votes") == F.col("top.votes")))
-    single = top.groupBy("key").agg(F.count_distinct("org").alias("orgs")).where("orgs = 1").select("key")
-    return top.join(single, "key").select("key", "org", "label").distinct()
+    # The smallest and the largest organisation are the same exactly if there is one.
+    single = top.groupBy("key").agg(F.min("org").alias("org"), F.max("org").alias("other"), F.bool_or("label").alias("label"))
+    return single.where("org = other").select("key", "org", "label")
 
 
 def registry_orgs(registry: DataFrame, parts: DataFrame, most: int = 2) -> DataFrame:

@@ -61,30 +61,37 @@ def learn_vocabulary(names: DataFrame) -> Vocabulary:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words: Counter = Counter()
-            pairs: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                ts = {t for t in name_tokens(text) if t not in LEGAL and t not in NOISE and t != ","}
-                words.update(ts)
-                if len(ts) == 2:
-                    pairs.update(ts)
-            keys = list(words)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([words[k] for k in keys], pa.int64()), pa.array([pairs[k] for k in keys], pa.int64())], ["word", "n", "pairs"])
+                words.update({t for t in name_tokens(text) if t not in LEGAL and t not in NOISE and t != ","})
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
     texts = names.where("named").select("text")
-    total = names.where("named").count()
-    counts = texts.mapInArrow(counted, "word string, n bigint, pairs bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs"))
-    common = {r[0]: (r[1], r[2]) for r in counts.where(F.col("n") >= max(4, COMMON_SHARE * total)).collect()}
+    total = texts.count()
+    counts = texts.mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    common = {r[0]: r[1] for r in counts.where(F.col("n") >= max(4, COMMON_SHARE * total)).collect()}
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """word, other, beside: rare words of a common word's names, and whether one stands right next to it."""
         for batch in batches:
-            seen = {(w, o) for text in batch.column(0).to_pylist() for ts in [set(name_tokens(text))] for w in ts & common.keys() for o in ts - common.keys() if o not in LEGAL and o not in NOISE}
-            cols = list(zip(*seen)) if seen else [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], ["word", "other"])
-
-    # A common word stands beside many different rare words, a proper word beside few.
-    rare = {r[0]: r[1] for r in texts.mapInArrow(neighbours, "word string, other string").distinct().groupBy("word").count().collect()}
-    kept = {w: n for w, (n, _) in common.items() if rare.get(w, 0) >= max(3, 0.25 * n)}
-    return Vocabulary(kept, {w: common[w][1] for w in kept})
+            seen: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                ts = [t for t in name_tokens(text) if t not in LEGAL and t not in NOISE]
+                for k, w in enumerate(ts):
+                    if w not in common:
+                        continue
+                    rare = [t != "," and 3 * common.get(t, 0) <= common[w] for t in ts]
+                    beside = k > 0 and rare[k - 1] or k + 1 < len(ts) and rare[k + 1]
+                    for other in {t for t, r in zip(ts, rare) if r} or {""}:
+                        seen[w, other, bool(beside)] += 1
+            cols = list(zip(*seen)) if seen else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.string()), pa.array(list(cols[1]), pa.string()), pa.array(list(cols[2]), pa.bool_()), pa.array(list(seen.values()), pa.int64())], ["word", "other", "beside", "n"])
+
+    met = texts.mapInArrow(neighbours, "word string, other string, beside boolean, n bigint")
+    pairs = met.groupBy("word", "other").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("beside"), F.col("n")).otherwise(0)).alias("beside"))
+    told = pairs.groupBy("word").agg(F.count_if(F.col("other") != "").alias("others"), (F.sum("beside") / F.sum("n")).alias("share")).collect()
+    # A common word stands with many different rare words, a proper word with few.
+    kept = {r.word: common[r.word] for r in told if r.others >= max(3, 0.25 * common[r.word])}
+    return Vocabulary(kept, {r.word: r.share for r in told if r.word in kept})
 
 
 def parsed(names: DataFrame, vocabulary: Vocabulary) -> DataFrame:

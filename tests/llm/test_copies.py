@@ -43,7 +43,7 @@ def brute(rows):
 def some_rows(seed, n):
     rng = random.Random(seed)
     words = ["Straße", "STRASSE", "50%", "$5", "-5", "a-5", "1.5", "15", "é", "É", "tCO₂e", "x​y", "xy", "…", "", "5-", "..", "€", "A.B"]
-    text = lambda: rng.choice([None, "", " ", *(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 3))) for _ in range(6))])
+    text = lambda: rng.choice([None, "", " ", *(" ".join(rng.choice(words) for _ in range(rng.choice([1, 1, 1, 2]))) for _ in range(9))])
     meta = lambda: rng.choice([None, {}, {"Year": "2020", "page": "1"}, {"PAGE": "1", "year ": "2020"}, {"year": "2021"}, {"note": None}])
     return [(k, text(), rng.choice([None, "p", "P!"]), text(), meta(), "x") for k in range(n)]
 
@@ -55,7 +55,7 @@ def test_against_brute_force(spark, monkeypatch, hot):
     rows = some_rows(1, 900)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     want = brute(rows)
-    assert len(want) > 100
+    assert len(want) > 20
     assert {tuple(r) for r in copies.find_copies(df, "id", COLUMNS, REQUIRED).collect()} == want
     whole = copies.collapse_copies(df, "id", COLUMNS, REQUIRED).collect()
     assert sum(r.n_copies for r in whole) == sum(bool(content(r[1]) and content(r[3])) for r in rows)

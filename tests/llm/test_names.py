@@ -33,7 +33,7 @@ def rows_of(orgs):
 
 
 def test_vocabulary_reads_short_and_wrong_forms():
-    v = Vocabulary({"manufacturing": 50, "mfg": 9, "meridian": 60, "mrdn": 8, "harbour": 55, "dairy": 40, "products": 38}, {"meridian": 20, "harbour": 18})
+    v = Vocabulary({"manufacturing": 50, "mfg": 9, "meridian": 60, "mrdn": 8, "harbour": 55, "dairy": 40, "products": 38}, {"meridian": 0.9, "harbour": 0.8, "dairy": 0.2})
     assert v.descriptors == {"meridian", "harbour"}
     assert v.read("mfg")[0][0] == "manufacturing" and v.read("mrdn")[0][0] == "meridian" and v.read("habrour")[0][0] == "harbour"
     assert parse_name("Mfg, Donogedu Mrdn Pty Ltd", v) == ("o", "donogedu", "meridian", "manufacturing", "ltd pty")
