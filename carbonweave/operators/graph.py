@@ -7,6 +7,7 @@ match-or-create, expressed as deduplication: running it again on the same triple
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +73,12 @@ def merge_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
     return nodes.unionByName(missing, allowMissingColumns=True)
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Several one-row results side by side: stacked with nulls, then folded into one row."""
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def broken_keys(nodes: DataFrame) -> DataFrame:
     """The uniqueness constraint as a post-condition: empty unless a (label, key) occurs twice."""
     return nodes.groupBy("label", "key").count().where("count > 1")

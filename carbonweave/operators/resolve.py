@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carbonweave.operators.graph import Graph
+from carbonweave.operators.graph import Graph, one_row
 from carbonweave.session import cut
 
 THRESHOLD = 85.0
@@ -138,7 +138,7 @@ def redirected(graph: Graph, mapping: DataFrame, label: str = "Company") -> Data
     outgoing = graph.edges.join(m, graph.edges.src == m.dup).agg(F.count("*").alias("n"))
     incoming = graph.edges.join(m, graph.edges.dst == m.dup).where("src <> can").agg(F.count("*").alias("n"))
     rels = outgoing.unionByName(incoming).agg(F.sum("n").alias("rels_redirected"))
-    return m.agg(F.count("*").alias("pairs_found"), F.count("*").alias("pairs_merged")).crossJoin(rels)
+    return one_row(m.agg(F.count("*").alias("pairs_found"), F.count("*").alias("pairs_merged")), rels)
 
 
 def merge_pairs_in_order(graph: Graph, pairs: list[tuple[str, str]], label: str = "Company") -> Graph:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carbonweave.functions.text import asks_for_targets, candidate_names, contains_fold, to_number
+from carbonweave.functions.text import asks_for_targets, candidate_names, to_number
 from carbonweave.operators.graph import Graph
+from carbonweave.operators.search import containing_any
 
 MOST_FACTS, MOST_TOP, MOST_TARGETS = 20, 5, 10
 
@@ -14,8 +15,8 @@ MOST_FACTS, MOST_TOP, MOST_TARGETS = 20, 5, 10
 def named_companies(graph: Graph, questions: DataFrame) -> DataFrame:
     """question_id, company for each company whose name contains a candidate of the question."""
     q = questions.select("question_id", F.explode(candidate_names(F.col("question"))).alias("part"))
-    # The candidates of a question are few and short; companies stream past them.
-    return graph.label("Company").select(F.col("key").alias("company")).join(F.broadcast(q), contains_fold(F.col("company"), F.col("part"))).select("question_id", "company").distinct()
+    companies = graph.label("Company").select(F.col("key").alias("company"))
+    return containing_any(companies, "company", q, "part").select("question_id", "company").distinct()
 
 
 def company_facts(graph: Graph, companies: DataFrame) -> DataFrame:

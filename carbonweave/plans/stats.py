@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carbonweave.functions.text import to_number
-from carbonweave.operators.graph import Graph
+from carbonweave.operators.graph import Graph, one_row
 
 MOST_EMISSIONS = 500
 
@@ -17,7 +17,7 @@ def summary(graph: Graph, tiers: DataFrame | None = None) -> DataFrame:
     n = graph.nodes.agg(F.count("*").alias("total_nodes"), by("Company").alias("companies"), by("EmissionMetric").alias("emission_metrics"), by("Region").alias("regions"), by("Facility").alias("facilities"))
     e = graph.edges.agg(F.count("*").alias("total_relationships"))
     s = tiers.agg(F.count("*").alias("suppliers")) if tiers is not None else n.select(F.lit(0).cast("bigint").alias("suppliers"))
-    return n.crossJoin(e).crossJoin(s).select("total_nodes", "total_relationships", "companies", "emission_metrics", "regions", "facilities", "suppliers")
+    return one_row(n, e, s).select("total_nodes", "total_relationships", "companies", "emission_metrics", "regions", "facilities", "suppliers")
 
 
 def emission_rows(graph: Graph) -> DataFrame:

@@ -15,7 +15,7 @@ from carbonweave import fixture_graph
 from carbonweave.functions import text as X
 from carbonweave.ontology import BOOKKEEPING, LABELS, OBJECT_LABELS, QUERY_LABELS, SUBJECT_LABELS
 from carbonweave.operators import chunking, enrich, resolve, search, traverse
-from carbonweave.operators.graph import Graph, broken_keys, ingest_stats, merge_nodes, normalize_triples
+from carbonweave.operators.graph import Graph, broken_keys, ingest_stats, merge_nodes, normalize_triples, one_row
 from carbonweave.plans import context, stats
 from carbonweave.session import checkpoint_dir, cut, table
 from carbonweave.sources import files
@@ -425,7 +425,8 @@ def _(spark, d):
 @query("jn7_unwind_contains", "with k(part) as (values ('#00000001'), ('#00000002')) select part, key as company from k join nodes on label = 'Company' and contains(lower(key), lower(part))", graph=True)
 def _(spark, d):
     parts = spark.createDataFrame([(["#00000001", "#00000002"],)], "parts array<string>").select(F.explode("parts").alias("part"))
-    return tpch(spark, d).label("Company").select(F.col("key").alias("company")).join(F.broadcast(parts), X.contains_fold(F.col("company"), F.col("part"))).select("part", "company")
+    companies = tpch(spark, d).label("Company").select(F.col("key").alias("company"))
+    return search.containing_any(companies, "company", parts, "part").select("part", "company")
 
 
 @query("jn8_incident_edges", f"select src, type, dst from edges where src = 'Company:{ROOT}' or dst = 'Company:{ROOT}'", graph=True)
@@ -572,7 +573,7 @@ def _(spark, d):
 @query("ag11_tallies", "select (select count(*) from tnodes) as nodes, (select count(*) from tedges) as edges", triples=True)
 def _(spark, d):
     g = triple_graph(spark, d)
-    return g.nodes.agg(F.count("*").alias("nodes")).crossJoin(g.edges.agg(F.count("*").alias("edges")))
+    return one_row(g.nodes.agg(F.count("*").alias("nodes")), g.edges.agg(F.count("*").alias("edges")))
 
 
 # --- 2.6 window-like ---------------------------------------------------------------------------
