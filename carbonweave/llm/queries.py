@@ -66,4 +66,26 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_matched": p4_matched, "p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p7_where": p7_where, "p8_found": p8_found, "p3_found": p3_found, "p2_found": p2_found, "p2_collapsed": p2_collapsed}
-SQL: dict[str, str] = {}
+#: Content letter by letter: letters, digits and signs, a point between digits, a hyphen-minus that starts a number.
+_P2 = r"""with part as (
+  select triple_id, 's' as what, subject as x from chipotle_2024_triples union all select triple_id, 'p', predicate from chipotle_2024_triples union all select triple_id, 'o', object_value from chipotle_2024_triples
+  union all select triple_id, 'k' || i, map_keys(metadata)[i] from chipotle_2024_triples, range(1, 20) r(i) where i <= cardinality(metadata)
+  union all select triple_id, 'v' || i, map_values(metadata)[i] from chipotle_2024_triples, range(1, 20) r(i) where i <= cardinality(metadata)),
+folded as (select triple_id, what, array_to_string(list_transform(range(1, length(coalesce(x, '')) + 1), lambda i:
+  case when regexp_matches(substr(x, i, 1), '[\p{L}\p{N}%$€]') then lower(substr(x, i, 1))
+    when substr(x, i, 1) = '.' and i > 1 and regexp_matches(substr(x, i - 1, 1), '\p{N}') and regexp_matches(substr(x, i + 1, 1), '\p{N}') then '.'
+    when substr(x, i, 1) = '-' and regexp_matches(substr(x, i + 1, 1), '\p{N}') and not (i > 1 and regexp_matches(substr(x, i - 1, 1), '[\p{L}\p{N}]')) then '-' else '' end), '') as c from part),
+entry as (select k.triple_id, string_agg(k.c || chr(2) || v.c, chr(1) order by k.c || chr(2) || v.c) m from folded k join folded v on v.triple_id = k.triple_id and v.what = 'v' || substr(k.what, 2) where k.what like 'k%' group by 1),
+rec as (select s.triple_id, s.c s, p.c p, o.c o, coalesce(m, '') m from folded s join folded p using (triple_id) join folded o using (triple_id) left join entry using (triple_id) where s.what = 's' and p.what = 'p' and o.what = 'o' and s.c <> '' and o.c <> ''),
+ranked as (select triple_id, min(triple_id) over (partition by s, p, o, m) a, count(*) over (partition by s, p, o, m) n from rec)
+"""
+_P7 = r"""with w as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from eval_items where text is not null),
+iw as (select distinct item_id, array_to_string(w[i : i + 11], ' ') span from w, lateral (select unnest(range(1, len(w) - 10)) i)),
+d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents where text is not null),
+dw as (select distinct doc_id, array_to_string(w[i : i + 11], ' ') span from d, lateral (select unnest(range(1, len(w) - 10)) i))
+select distinct doc_id, item_id from dw join iw using (span)"""
+SQL: dict[str, str] = {
+    "p2_found": _P2 + "select a as triple_id_a, triple_id as triple_id_b from ranked where triple_id <> a",
+    "p2_collapsed": _P2 + "select triple_id, n as n_copies from ranked where triple_id = a",
+    "p7_found": _P7,
+}
