@@ -43,7 +43,8 @@ def _blocks(names: DataFrame, threshold: float) -> DataFrame:
     """Exact blocking: two names at or above the threshold share a block.
 
     With d = (1 - t/100)(la + lb) the most letters that may be left out, the shorter name cut into
-    d + 1 pieces has a piece that stands whole in the longer one, shifted by at most d.
+    d + 1 pieces has a piece that stands whole in the longer one. Of all such pieces one has at most as
+    many changes to its left as pieces, and at most the rest to its right, which bounds its shift.
     """
     slack = 1 - threshold / 100
 
@@ -73,7 +74,8 @@ def _blocks(names: DataFrame, threshold: float) -> DataFrame:
                     at = 0
                     for i in range(k):
                         w = size + (i < more)
-                        rows += [(f"{m}|{n}|{i}|{p}", name, False) for p in {s[x : x + w] for x in range(max(0, at - d), min(n - w, at + d) + 1)}]
+                        low, high = max(-i, n - m - (d - i)), min(i, n - m + (d - i))
+                        rows += [(f"{m}|{n}|{i}|{p}", name, False) for p in {s[x : x + w] for x in range(max(0, at + low), min(n - w, at + high) + 1)}]
                         at += w
             c = list(zip(*rows)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c[0]), pa.string()), pa.array(list(c[1]), pa.string()), pa.array(list(c[2]), pa.bool_())], ["block", "name", "shorter"])
