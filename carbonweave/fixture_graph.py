@@ -16,7 +16,7 @@ from carbonweave.session import table
 
 
 def _triple(df: DataFrame, subject: F.Column, predicate: str, obj: F.Column) -> DataFrame:
-    return df.select(subject.alias("subject"), F.lit(predicate).alias("predicate"), obj.alias("object_value")).distinct()
+    return df.select(subject.alias("subject"), F.lit(predicate).alias("predicate"), obj.alias("object_value"))
 
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:

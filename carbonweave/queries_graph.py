@@ -107,10 +107,10 @@ def _(spark, d):
     return spark.read.schema("predicate string").json(path).where("predicate is not null").groupBy("predicate").agg(F.count("*").alias("n"))
 
 
-@query("sc10_incremental_pending", f"select distinct source_file from {TRIPLES} where source_file not in (select source_file from {TRIPLES} where loaded_at < timestamp '2024-06-01' and source_file is not null) and source_file is not null")
+@query("sc10_incremental_pending", "select doc_id from documents where doc_id not in (select doc_id from documents where parsed_at < timestamp '2024-04-01')")
 def _(spark, d):
-    t = table(spark, d, TRIPLES).where("source_file is not null")
-    return files.pending(t.select("source_file").distinct(), t.where("loaded_at < timestamp_ntz '2024-06-01'"), "source_file")
+    docs = table(spark, d, "documents")
+    return files.pending(docs.select("doc_id"), docs.where("parsed_at < timestamp_ntz '2024-04-01'"), "doc_id")
 
 
 @query("sc11_graph_sink", "select 'edges' as part, type as name, count(*) n from edges group by type union all select 'nodes', label, count(*) from nodes group by label", graph=True)
@@ -503,10 +503,10 @@ def _(spark, d):
     return g.label("Region").select("key").join(done, "key", "left_anti")
 
 
-@query("jn18_semi_join", f"select distinct source_file from {TRIPLES} where source_file in (select source from documents)")
+@query("jn18_semi_join", "select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_orderpriority = '5-LOW')")
 def _(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("source_file"))
-    return table(spark, d, TRIPLES).select("source_file").distinct().join(docs, "source_file", "left_semi")
+    low = table(spark, d, "orders").where("o_orderpriority = '5-LOW'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey", "c_name").join(low, "c_custkey", "left_semi")
 
 
 # --- 2.5 aggregations --------------------------------------------------------------------------
