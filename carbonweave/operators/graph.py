@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from carbonweave.functions.text import metadata_map, normalize_predicate, object_label, strip, subject_label
 from carbonweave.ontology import QUERY_LABELS
+from carbonweave.session import cut
 
 
 def node_id(label: Column, key: Column) -> Column:
@@ -40,6 +41,16 @@ class Graph:
         e = t.select(node_id(F.col("src_label"), F.col("subject")).alias("src"), "type", node_id(F.col("dst_label"), F.col("object")).alias("dst"), "props", "pos")
         return Graph(nodes, merge_edges(e) if with_props else e.select("src", "type", "dst").distinct())
 
+    def written(self) -> Graph:
+        """The graph with its edges written once to the shared folder and its nodes read off their ends.
+
+        For queries that use the whole graph several times; every node of a graph from triples has an edge.
+        """
+        edges = cut(self.edges)
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+        at = F.instr("node_id", ":")
+        return Graph(ends.select("node_id", F.substr("node_id", F.lit(1), at - 1).alias("label"), F.substr("node_id", at + 1).alias("key")), edges)
+
     def label(self, label: str) -> DataFrame:
         if label not in QUERY_LABELS:
             raise ValueError(f"unknown label {label}")

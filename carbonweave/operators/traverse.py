@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carbonweave.operators.graph import Graph
+from carbonweave.session import cut
 
 MOST_HOPS = 3
 
@@ -19,19 +20,20 @@ def distances(graph: Graph, root: str, hops: int) -> DataFrame:
     if not 1 <= hops <= MOST_HOPS:
         raise ValueError(f"hops must be 1..{MOST_HOPS}")
     e = graph.edges.select("src", "dst")
+    # Each level is written before the next reads it twice; levels hold node ids only.
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     seen = graph.nodes.where(F.col("node_id") == root).select("node_id", F.lit(0).alias("dist"))
     for k in range(1, hops + 1):
         front = seen.where(F.col("dist") == k - 1).select(F.col("node_id").alias("src"))
         found = both.join(front, "src").select(F.col("dst").alias("node_id")).distinct()
-        seen = seen.unionByName(found.join(seen, "node_id", "left_anti").withColumn("dist", F.lit(k)))
+        seen = cut(seen.unionByName(found.join(seen, "node_id", "left_anti").withColumn("dist", F.lit(k))))
     return seen
 
 
 def ego(graph: Graph, root: str, hops: int, limit: int = 200) -> Graph:
     """The nodes nearest to the root (at most `limit`, by distance, label, key) and the edges among them that a trail of `hops` steps can use."""
     near = distances(graph, root, hops)
-    kept = near.join(graph.nodes, "node_id").orderBy("dist", "label", "key").limit(limit)
+    kept = cut(near.join(graph.nodes, "node_id").orderBy("dist", "label", "key").limit(limit))
     d = kept.select("node_id", "dist")
     e = graph.edges.select("src", "type", "dst").distinct()
     e = e.join(d.select(F.col("node_id").alias("src"), F.col("dist").alias("ds")), "src").join(d.select(F.col("node_id").alias("dst"), F.col("dist").alias("dd")), "dst")

@@ -448,8 +448,7 @@ for _h in (1, 2, 3):
 
     @query(f"jn9_ego_{_h}hop", _ego_sql(_h), graph=True)
     def _(spark, d, h=_h):
-        g = tpch(spark, d)
-        return traverse.ego(Graph(g.nodes, cut(g.edges)), f"Company:{ROOT}", h).edges
+        return traverse.ego(tpch(spark, d).written(), f"Company:{ROOT}", h).edges
 
 
 @query("jn10_name_pairs")
@@ -532,7 +531,7 @@ _SUMMARY = "select (select count(*) from nodes) as total_nodes, (select count(*)
 
 @query("ag4_label_pivot", _SUMMARY, graph=True)
 def _(spark, d):
-    return stats.summary(tpch(spark, d), table(spark, d, "supplier"))
+    return stats.summary(tpch(spark, d).written(), table(spark, d, "supplier"))
 
 
 @query("ag5_count_by_category", "select o as category, count(*) as count from tri where p = 'BELONGS_TO_CATEGORY' group by o", graph=True)
@@ -810,7 +809,7 @@ def _(spark, d):
 
 @query("qy1_summary", _SUMMARY, graph=True)
 def _(spark, d):
-    return stats.summary(tpch(spark, d), table(spark, d, "supplier"))
+    return stats.summary(tpch(spark, d).written(), table(spark, d, "supplier"))
 
 
 @query("qy2_emissions_fixed", _emissions_sql(50, "fixed"), graph=True)
@@ -851,8 +850,7 @@ def _(spark, d):
 
 @query("qy8_ego_nodes", _ego_sql(2).rsplit("select distinct", 1)[0] + "select label, key from kept join nodes using (node_id)", graph=True)
 def _(spark, d):
-    g = tpch(spark, d)
-    return traverse.ego(Graph(g.nodes, cut(g.edges)), f"Company:{ROOT}", 2).nodes.select("label", "key")
+    return traverse.ego(tpch(spark, d).written(), f"Company:{ROOT}", 2).nodes.select("label", "key")
 
 
 @query("qy9_supply_chain", "select src, type, dst from tedges where type in ('HAS_SUPPLIER', 'SUPPLIES_TO') order by src, type, dst limit 500", triples=True)
