@@ -34,6 +34,8 @@ from carbonweave.session import cut
 
 MOST_CHARS = 120
 MOST_ROUNDS = 12
+#: Grown profiles whose blocks (some dozens each) are broadcast in the last rounds; more are shuffled.
+FEW = 1_000
 #: A common word stands in at least this share of the names, which bounds their number.
 COMMON_SHARE = 0.008
 _RECORD = "key string, kind string, proper string, second string, third string, legal string"
@@ -50,7 +52,9 @@ def spellings(columns: list[tuple[DataFrame, str, bool]]) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    rows = rows.where(F.col("text").isNotNull() & (F.length("text") <= MOST_CHARS) & ~F.col("text").rlike(r"\p{N}") & F.col("text").rlike(r"\p{L}[^\p{L}]+\p{L}"))
+    # The cheap test first: most values that are no names hold a plain digit.
+    rows = rows.where(F.col("text").isNotNull() & ~F.col("text").rlike("[0-9]") & (F.length("text") <= MOST_CHARS))
+    rows = rows.where(F.col("text").rlike(r"\p{L}[^\p{L}]+\p{L}") & ~F.col("text").rlike(r"\p{N}"))
     texts = rows.groupBy("text").agg(F.count("*").alias("n"), F.max("named").alias("named")).withColumn("key", key_column(F.col("text")))
     return texts.groupBy("key").agg(F.max_by("text", F.struct("n", "text")).alias("text"), F.max("named").alias("named")).where("key <> ''")
 
@@ -192,7 +196,8 @@ def _links(profiles: DataFrame, most: int, changed: DataFrame | None) -> DataFra
     else:
         # Only a profile that grew can find new partners: its blocks meet those of all others.
         grown = _blocked(profiles.join(changed, "cluster", "left_semi"), most).withColumnRenamed("cluster", "other")
-        met = blocks.join(grown, "block").where("cluster <> other")
+        few = changed.limit(FEW + 1).count() <= FEW
+        met = blocks.join(F.broadcast(grown) if few else grown, "block").where("cluster <> other")
         pairs = met.select(F.least("cluster", "other").alias("cluster"), F.greatest("cluster", "other").alias("other")).distinct()
     side = lambda p: profiles.select(F.col("cluster").alias("cluster" if p == "a" else "other"), *([F.col("kind")] if p == "a" else []), *[F.col(c).alias(f"{p}_{c}") for c in ("propers", "seconds", "thirds", "legals")])
 
@@ -255,7 +260,7 @@ def resolve(records: DataFrame, most: int = 2, rounds: int = MOST_ROUNDS) -> Dat
         label = _labels(links)
         current = cut(current.join(label.withColumnRenamed("a", "cluster"), "cluster", "left").withColumn("cluster", F.coalesce("label", "cluster")).drop("label"))
         # A profile whose candidates disagree is judged anew against all of them.
-        changed = label.select(F.col("label").alias("cluster")).unionByName(torn).distinct()
+        changed = cut(label.select(F.col("label").alias("cluster")).unionByName(torn).distinct())
     return current
 
 
