@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,52 +38,131 @@ def common_subsequence(a: str, b: str) -> int:
 
 def similarity(a: str, b: str) -> float:
     """0..100: twice the common subsequence of the sorted tokens over the length of both."""
-    a, b = sorted_tokens(a), sorted_tokens(b)
+    return _sorted_similarity(sorted_tokens(a), sorted_tokens(b))
+
+
+def _sorted_similarity(a: str, b: str) -> float:
     return 200.0 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
-def _blocks(names: DataFrame, threshold: float) -> DataFrame:
-    """Exact blocking: two names at or above the threshold share a block.
+#: Signature: letters fall into this many classes; of each its first, second and third occurrence is a bit.
+_CLASSES = 42
+#: Parts of the shorter side of one length where names meet by length only.
+_PARTS = 16
+#: Pieces of fewer letters than this on average keep hardly any two names apart.
+_LEAST_PIECE = 2.5
+
+
+def _signature(s: str) -> tuple[int, int]:
+    """Two words of bits; two strings differ in at most as many bits as letters must be left out to make them equal."""
+    seen: dict[int, int] = {}
+    bits = 0
+    for c in s:
+        k = ord(c) % _CLASSES
+        n = seen.get(k, 0)
+        if n < 3:
+            bits |= 1 << 3 * k + n
+            seen[k] = n + 1
+    return (bits & (1 << 63) - 1), bits >> 63
+
+
+def _left_out(n: int, m: int, slack: float) -> int:
+    """The most letters that two names of n and m letters at the threshold may leave out."""
+    return int(slack * (n + m) + 1e-9)
+
+
+def _lengths(n: int, slack: float) -> tuple[int, int]:
+    """The shortest and the longest name that can reach the threshold with one of n letters."""
+    return max(0, int(n * (1 - slack) / (1 + slack)) - 1), int(n * (1 + slack) / (1 - slack)) + 1
+
+
+def _piece_blocks(s: str, slack: float, shorter: bool) -> list[str]:
+    """Blocks of s as the shorter or as the longer of two names; two names at the threshold share one.
 
     With d = (1 - t/100)(la + lb) the most letters that may be left out, the shorter name cut into
-    d + 1 pieces has a piece that stands whole in the longer one. Of all such pieces one has at most as
-    many changes to its left as pieces, and at most the rest to its right, which bounds its shift.
+    d + 1 pieces or more has a piece that stands whole in the longer one. The first with fewer changes up
+    to its end than pieces has exactly as many changes to its left as pieces, and at most the rest to its
+    right, which bounds its shift and makes it even or odd.
+    The number of pieces follows the longest name that the shorter one can meet.
     """
-    slack = 1 - threshold / 100
 
-    def pieces(s: str, k: int) -> list[tuple[int, str]]:
-        size, more = divmod(len(s), k)
-        out, at = [], 0
+    def cuts(n: int) -> Iterator[tuple[int, int, int]]:
+        k = min(n, _left_out(n, _lengths(n, slack)[1], slack) + 1) or 1
+        size, more = divmod(n, k)
+        at = 0
         for i in range(k):
-            n = size + (i < more)
-            out.append((at, s[at : at + n]))
-            at += n
-        return out
+            w = size + (i < more)
+            yield i, at, w
+            at += w
+
+    n = len(s)
+    if shorter:
+        return [f"{n}|{i}|{s[at : at + w]}" for i, at, w in cuts(n)]
+    out: list[str] = []
+    for m in range(_lengths(n, slack)[0], n + 1):
+        d = _left_out(m, n, slack)
+        for i, at, w in cuts(m):
+            if i > d:
+                break
+            low, high = max(-i, n - m - (d - i)), min(i, n - m + (d - i))
+            low += (low + i) % 2
+            out += [f"{m}|{i}|{p}" for p in {s[x : x + w] for x in range(at + low, at + high + 1, 2) if 0 <= x <= n - w}]
+    return out
+
+
+def _length_blocks(s: str, slack: float, shorter: bool) -> list[str]:
+    """The same by length only, the shorter names of one length in _PARTS parts."""
+    n = len(s)
+    return [f"{n}|{xxhash.xxh3_64_intdigest(s) % _PARTS}"] if shorter else [f"{m}|{k}" for m in range(_lengths(n, slack)[0], n + 1) for k in range(_PARTS)]
+
+
+def _blocks(forms: DataFrame, threshold: float, shorter: bool) -> DataFrame:
+    """block, form, size, sig0, sig1 of each form (sorted tokens) as the shorter or the longer of two."""
+    slack = 1 - threshold / 100
+    # Pieces have about 1 / (2 slack) letters.
+    of = _piece_blocks if slack * 2 * _LEAST_PIECE <= 1 else _length_blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[str, str, bool]] = []
-            for name in batch.column(0).to_pylist():
-                s = sorted_tokens(name)
-                n = len(s)
-                # As the shorter one, for every length the longer may have; as the longer one, likewise.
-                for m in range(n, int(n * (1 + slack) / (1 - slack)) + 2):
-                    d = int(slack * (n + m) + 1e-9)
-                    rows += [(f"{n}|{m}|{i}|{p}", name, True) for i, (_, p) in enumerate(pieces(s, min(n, d + 1) or 1))]
-                for m in range(max(0, int(n * (1 - slack) / (1 + slack)) - 1), n + 1):
-                    d = int(slack * (n + m) + 1e-9)
-                    k = min(m, d + 1) or 1
-                    size, more = divmod(m, k)
-                    at = 0
-                    for i in range(k):
-                        w = size + (i < more)
-                        low, high = max(-i, n - m - (d - i)), min(i, n - m + (d - i))
-                        rows += [(f"{m}|{n}|{i}|{p}", name, False) for p in {s[x : x + w] for x in range(max(0, at + low), min(n - w, at + high) + 1)}]
-                        at += w
-            c = list(zip(*rows)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c[0]), pa.string()), pa.array(list(c[1]), pa.string()), pa.array(list(c[2]), pa.bool_())], ["block", "name", "shorter"])
-
-    return names.mapInArrow(run, "block string, name string, shorter boolean")
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                blocks, rows = [], []
+                texts = part.column(1).to_pylist()
+                for k, s in enumerate(texts):
+                    own = of(s, slack, shorter)
+                    blocks += [xxhash.xxh3_64_intdigest(x) for x in own]
+                    rows += [k] * len(own)
+                signatures = [_signature(s) for s in texts]
+                take = pa.array(rows, pa.int64())
+                # Blocks travel as numbers; two blocks that fell together would only cost a comparison.
+                cols = [pa.array(np.array(blocks, np.uint64).view(np.int64)), part.column(0).take(take), pa.array([len(s) for s in texts], pa.int32()).take(take), *(pa.array([x[j] for x in signatures], pa.int64()).take(take) for j in (0, 1))]
+                yield pa.RecordBatch.from_arrays(cols, ["block", "form", "size", "sig0", "sig1"])
+
+    return forms.mapInArrow(run, "block bigint, form bigint, size int, sig0 bigint, sig1 bigint")
+
+
+def _letters(texts: list[str], width: int, fill: int) -> np.ndarray:
+    return np.array([*map(ord, "".join(t.ljust(width, chr(fill)) for t in texts))], np.int32).reshape(len(texts), width)
+
+
+def sorted_similarities(a: list[str], b: list[str]) -> np.ndarray:
+    """similarity() of many pairs whose tokens are sorted already; those of up to 64 letters all at once."""
+    out = np.zeros(len(a))
+    short = [k for k, x in enumerate(a) if 0 < len(x) <= 64]
+    for k in set(range(len(a))).difference(short):
+        out[k] = _sorted_similarity(a[k], b[k])
+    for at in range(0, len(short), 2_000):
+        rows = short[at : at + 2_000]
+        x, y = [a[k] for k in rows], [b[k] for k in rows]
+        # Two fillers that no text holds never meet each other.
+        left, right = _letters(x, 64, 0x10FFFE), _letters(y, max(map(len, y)), 0x10FFFF)
+        row = np.full(len(rows), 2**64 - 1, np.uint64)
+        for j in range(right.shape[1]):
+            hit = row & np.packbits(left == right[:, j : j + 1], axis=1, bitorder="little").view("<u8").ravel()
+            row = row + hit | row - hit
+        common = 64 - np.bitwise_count(row).astype(np.int64)
+        out[rows] = 200.0 * common / np.array([len(s) + len(t) for s, t in zip(x, y)])
+    return out
 
 
 def duplicate_pairs(names: DataFrame, column: str, threshold: float = THRESHOLD, mode: str = "blocked", most: int = MOST_NAMES) -> DataFrame:
@@ -91,18 +173,32 @@ def duplicate_pairs(names: DataFrame, column: str, threshold: float = THRESHOLD,
     distinct = names.select(F.col(column).alias("name")).where("name is not null and name <> ''").distinct()
     if mode == "capped" and not 2 <= distinct.limit(most + 1).count() <= most:
         distinct = distinct.where(F.lit(False))
-    b = _blocks(distinct, threshold)
-    short, long = b.where("shorter").select("block", F.col("name").alias("x")), b.where("not shorter").select("block", F.col("name").alias("y"))
-    met = short.join(long, "block").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = pa.array([similarity(x, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.float64())
-            yield batch.append_column("score", score)
+            yield batch.append_column("text", pa.array([sorted_tokens(x) for x in batch.column(0).to_pylist()], pa.string()))
+
+    named = cut(distinct.mapInArrow(sort, "name string, text string"))
+    # Names whose sorted tokens are equal are compared with others once.
+    forms = cut(named.select("text").distinct().select(F.monotonically_increasing_id().alias("form"), "text"))
+    side = lambda x: _blocks(forms, threshold, x == "x").select("block", *[F.col(c).alias(f"{c}_{x}") for c in ("form", "size", "sig0", "sig1")])
+    apart = F.bit_count(F.col("sig0_x").bitwiseXOR(F.col("sig0_y"))) + F.bit_count(F.col("sig1_x").bitwiseXOR(F.col("sig1_y")))
+    near = (F.col("form_x") != F.col("form_y")) & (apart <= F.floor((1 - threshold / 100) * (F.col("size_x") + F.col("size_y")) + 1e-9))
+    met = side("x").join(side("y"), "block").where(near).select(F.least("form_x", "form_y").alias("form_a"), F.greatest("form_x", "form_y").alias("form_b")).distinct()
+    texts = [forms.select(F.col("form").alias(f"form_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"]
 
-    scored = met.mapInArrow(run, "a string, b string, score double").where(F.col("score") >= threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b_ = (batch.column(c).to_pylist() for c in ("text_a", "text_b"))
+            out = pa.RecordBatch.from_arrays([batch.column("text_a"), batch.column("text_b"), pa.array(sorted_similarities(a, b_))], ["text_a", "text_b", "score"])
+            yield out.filter(pc.greater_equal(out.column(2), threshold))
+
+    scored = met.join(texts[0], "form_a").join(texts[1], "form_b").select("text_a", "text_b").mapInArrow(run, "text_a string, text_b string, score double")
+    a, b_ = (named.select(F.col("text").alias(f"text_{x}"), F.col("name").alias(f"name_{x}")) for x in "ab")
+    across = scored.join(a, "text_a").join(b_, "text_b").select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"), "score")
+    same = a.join(b_, F.col("text_a") == F.col("text_b")).where("name_a < name_b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), F.lit(100.0).alias("score"))
     first = F.length("a") >= F.length("b")
-    return scored.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("duplicate"), "score")
+    return across.unionByName(same).select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("duplicate"), "score")
 
 
 def components(pairs: DataFrame) -> DataFrame:

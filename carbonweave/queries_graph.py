@@ -453,7 +453,7 @@ for _h in (1, 2, 3):
 
 @query("jn10_name_pairs")
 def _(spark, d):
-    return resolve.duplicate_pairs(table(spark, d, "part"), "p_name")
+    return resolve.duplicate_pairs(triple_graph(spark, d).label("Company"), "key")
 
 
 def _mapping(spark):
@@ -482,7 +482,7 @@ def _(spark, d):
 
 @query("jn15_components")
 def _(spark, d):
-    return resolve.components(resolve.duplicate_pairs(table(spark, d, "part"), "p_name"))
+    return resolve.components(resolve.duplicate_pairs(triple_graph(spark, d).label("Company"), "key"))
 
 
 _GEO = "geo as (select key, latitude, longitude, latitude is null as geocode_failed from tnodes left join gazetteer on name = key where label = 'Region')"
@@ -804,7 +804,7 @@ def _(spark, d):
 
 @query("ud3_fuzzy_ratio")
 def _(spark, d):
-    return resolve.duplicate_pairs(table(spark, d, "part"), "p_name", 70.0)
+    return resolve.duplicate_pairs(triple_graph(spark, d).label("Company"), "key", 70.0)
 
 
 @query("qy1_summary", _SUMMARY, graph=True)
@@ -891,17 +891,15 @@ def _(spark, d):
 
 @query("qy12_entity_resolution")
 def _(spark, d):
-    pairs = cut(resolve.duplicate_pairs(table(spark, d, "part"), "p_name", mode="capped"))
+    pairs = cut(resolve.duplicate_pairs(triple_graph(spark, d).label("Company"), "key", mode="capped"))
     return pairs.select("canonical", "duplicate", F.round("score", 2).alias("score"))
 
 
 @query("qy12_merged_graph")
 def _(spark, d):
     g = triple_graph(spark, d)
-    names = table(spark, d, "part").select(F.concat(F.lit("Company:"), "p_name").alias("node_id"), F.lit("Company").alias("label"), F.col("p_name").alias("key")).distinct()
-    edges = table(spark, d, "part").select(F.concat(F.lit("Company:"), "p_name").alias("src"), F.lit("BELONGS_TO").alias("type"), F.concat(F.lit("Entity:"), "p_brand").alias("dst")).distinct()
-    mapping = resolve.components(resolve.duplicate_pairs(names, "key"))
-    return resolve.redirect(Graph(merge_nodes(g.nodes, names).where("false").unionByName(names), edges), mapping).edges
+    mapping = resolve.components(resolve.duplicate_pairs(g.label("Company"), "key"))
+    return resolve.redirect(g, mapping).edges
 
 
 @query("qy13_ingest", "select 'node' as kind, label as name, count(*) n from tnodes group by label union all select 'edge', type, count(*) from tedges group by type", triples=True)

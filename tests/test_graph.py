@@ -128,6 +128,61 @@ def test_resolution_ties_bounds_and_chain(spark):
     assert {tuple(r) for r in resolve.components(chain).collect()} == {("A", "A"), ("B", "A"), ("C", "A")}
 
 
+def brute_components(names, threshold=85.0):
+    """Pairs by comparing all with all, and each name's canonical name."""
+    pairs = {(a, b) for a, b in product(names, names) if a < b and resolve.similarity(a, b) >= threshold}
+    group = {n: {n} for n in names}
+    for a, b in pairs:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for n in group[b]:
+                group[n] = group[a]
+    return pairs, {n: min(g, key=lambda x: (-len(x), x)) for n, g in group.items()}
+
+
+def test_similarities_all_at_once():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab \u00e9\U0001f600") for _ in range(rng.choice([0, 1, 5, 30, 63, 64, 65, 90]))) for _ in range(400)]
+    a, b = [resolve.sorted_tokens(x) for x in texts], [resolve.sorted_tokens(x) for x in reversed(texts)]
+    assert list(resolve.sorted_similarities(a, b)) == [resolve.similarity(x, y) for x, y in zip(a, b)]
+
+
+@pytest.mark.parametrize("threshold", [60.0, 70.0, 80.0, 92.5, 100.0])
+def test_pairs_at_other_thresholds(spark, threshold):
+    rng = random.Random(12)
+    words = ["Foods", "Group", "Inc.", "Ltd", "cold", "Café"] + ["".join(rng.choice("aeioklmn") for _ in range(rng.randrange(1, 9))) for _ in range(20)]
+    names = {" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(120)}
+    names |= {n[:k] + rng.choice(" aX") + n[k + rng.randrange(3) :] for n in sorted(names) for k in (0, len(n) // 2, len(n))} | {" ", "a", "ab", "aaaaaaaaaa", "aaaaaaaaa"}
+    df = spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    got = [tuple(sorted((r.canonical, r.duplicate))) for r in resolve.duplicate_pairs(df, "name", threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_components(sorted(names), threshold)[0]
+
+
+@pytest.fixture()
+def report_triples(spark, tmp_path):
+    rng = random.Random(13)
+    names = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(5)).title() + " Foods" for _ in range(40)]
+    rows = [(f"{n}{end}", p, o) for k, n in enumerate(names) for end, p, o in (("", "OPERATES_IN", "Europe"), (" Co", "has supplier", f"{names[k - 1]}."), ("s", "HAS_SUPPLIER", n))]
+    triples(spark, [(s, p, o, None, "f") for s, p, o in rows]).withColumnRenamed("pos", "triple_id").write.parquet(f"{tmp_path}/chipotle_2024_triples.parquet")
+    return str(tmp_path)
+
+
+def test_resolution_queries_run_on_company_nodes(spark, report_triples):
+    from carbonweave.queries_graph import QUERIES, triple_graph
+
+    g = triple_graph(spark, report_triples)
+    names = sorted(r.key for r in g.label("Company").collect())
+    pairs, canonical = brute_components(names)
+    moved = {n: c for n, c in canonical.items() if n != c}
+    found = lambda q: {tuple(sorted((r.canonical, r.duplicate))) for r in QUERIES[q](spark, report_triples).collect()}
+    assert found("jn10_name_pairs") == found("qy12_entity_resolution") == pairs and len(pairs) > 80
+    assert found("ud3_fuzzy_ratio") == brute_components(names, 70.0)[0]
+    assert {r.name: r.canonical for r in QUERIES["jn15_components"](spark, report_triples).collect()} == {n: c for n, c in canonical.items() if n in moved or n in moved.values()}
+    at = lambda x: "Company:" + canonical[x[8:]] if x.startswith("Company:") else x
+    want = sorted((at(r.src), r.type, at(r.dst)) for r in g.edges.collect() if not (r.dst[8:] in moved and r.src[8:] not in moved and r.src == at(r.dst)))
+    assert sorted((r.src, r.type, r.dst) for r in QUERIES["qy12_merged_graph"](spark, report_triples).collect()) == want
+
+
 def test_redirect_self_edges(spark):
     n = spark.createDataFrame([("Company:c", "Company", "c"), ("Company:d", "Company", "d"), ("Company:x", "Company", "x")], "node_id string, label string, key string")
     e = spark.createDataFrame([("Company:d", "T", "Company:c"), ("Company:c", "T", "Company:d"), ("Company:x", "T", "Company:d")], "src string, type string, dst string")
