@@ -889,10 +889,19 @@ def _(spark, d):
     return spark.createDataFrame(list(enumerate(topics, 1)), "pos int, topic string")
 
 
+def _resolution(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    pairs = cut(resolve.duplicate_pairs(triple_graph(spark, d).label("Company"), "key", mode=mode))
+    return pairs.select("canonical", "duplicate", F.round("score", 2).alias("score"))
+
+
 @query("qy12_entity_resolution")
 def _(spark, d):
-    pairs = cut(resolve.duplicate_pairs(triple_graph(spark, d).label("Company"), "key", mode="capped"))
-    return pairs.select("canonical", "duplicate", F.round("score", 2).alias("score"))
+    return _resolution(spark, d, "blocked")
+
+
+@query("qy12_entity_resolution_compat")
+def _(spark, d):
+    return _resolution(spark, d, "capped")
 
 
 @query("qy12_merged_graph")

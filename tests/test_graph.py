@@ -183,6 +183,15 @@ def test_resolution_queries_run_on_company_nodes(spark, report_triples):
     assert sorted((r.src, r.type, r.dst) for r in QUERIES["qy12_merged_graph"](spark, report_triples).collect()) == want
 
 
+def test_resolution_has_no_limit_of_names(spark, tmp_path):
+    from carbonweave.queries_graph import QUERIES
+
+    rows = [(f"{k:05d}" * 3, "FOO", "x", None, "f") for k in range(2100)] + [("Harbour Foods", "FOO", "x", None, "f"), ("Harbour Food", "FOO", "x", None, "f")]
+    triples(spark, rows).withColumnRenamed("pos", "triple_id").write.parquet(f"{tmp_path}/chipotle_2024_triples.parquet")
+    assert ("Harbour Foods", "Harbour Food") in {(r.canonical, r.duplicate) for r in QUERIES["qy12_entity_resolution"](spark, str(tmp_path)).collect()}
+    assert QUERIES["qy12_entity_resolution_compat"](spark, str(tmp_path)).count() == 0
+
+
 def test_redirect_self_edges(spark):
     n = spark.createDataFrame([("Company:c", "Company", "c"), ("Company:d", "Company", "d"), ("Company:x", "Company", "x")], "node_id string, label string, key string")
     e = spark.createDataFrame([("Company:d", "T", "Company:c"), ("Company:c", "T", "Company:d"), ("Company:x", "T", "Company:d")], "src string, type string, dst string")
