@@ -38,6 +38,9 @@ from carbonweave.session import cut, small
 READ_AS = ["cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859_15", "koi8_r"]
 WRITTEN_IN = ["cp1252", "mac_roman", "cp437", "cp850"]
 ROUNDS = 12
+#: A single character with a larger share of the corpus is common.
+COMMON_SHARE = 1e-3
+GATHERED = 0.5
 SALTS = 16
 LOST = "�"
 _PRIVATE = 0xF0000
@@ -176,7 +179,8 @@ def unit_counts(df: DataFrame, text_col: str, lang_col: str, source_col: str) ->
 class LanguageModel:
     """Neighbours of each non-ASCII letter by language, smoothed by the pool of languages and the background."""
 
-    def __init__(self, rows: list[tuple[str, str, str, str, int]]) -> None:
+    def __init__(self, rows: list[tuple[str, str, str, str, int]], gathered: frozenset[str] = frozenset()) -> None:
+        self.gathered = gathered
         self.side: dict[tuple[str, str, int], Counter] = defaultdict(Counter)
         self.total: Counter = Counter()
         self.by_lang: Counter = Counter()
@@ -214,13 +218,28 @@ class LanguageModel:
 
 
 def suspicious(unit: str, model: LanguageModel) -> list[str]:
-    """Candidate letters that the corpus knows. A single character that is common itself is no cipher."""
-    if len(unit) == 1 and model.share("", unit) > 1e-3:
-        return []
+    """Candidate letters that the corpus knows. A single character that is common itself is no cipher, unless few sources hold it."""
+    if len(unit) == 1 and model.share("", unit) > COMMON_SHARE:
+        # Its count says nothing then: a hot source may hold it nearly as often as the others hold the letter.
+        return [x for x in candidates(unit) if model.share("", x) > COMMON_SHARE and x not in model.gathered] if unit in model.gathered else []
     # A letter must be commoner than the unit that would stand for it, unless the unit's structure gives it away.
     return [x for x in candidates(unit) if model.count("", x) > (0 if len(unit) > 1 else 5 * model.count("", unit))]
 
 
+def gathered_units(counts: DataFrame) -> frozenset[str]:
+    """Common single characters that stand in less than GATHERED of the sources that would hold them if they were spread as their languages' text is."""
+    seen = cut(counts.groupBy("source", "lang", "unit").agg(F.sum("n").alias("n")))
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    single = seen.where(F.length("unit") == 1)
+    common = single.groupBy("unit").agg(F.sum("n").alias("all"), F.count_distinct("source").alias("sources")).where(F.col("all") > COMMON_SHARE * total)  # at most 1 / COMMON_SHARE
+    of_lang = single.join(F.broadcast(common.select("unit")), "unit").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
+    whole = seen.groupBy("lang").agg(F.sum("n").alias("whole"))
+    shares = seen.groupBy("source", "lang").agg(F.sum("n").alias("own")).join(F.broadcast(whole), "lang").select("source", "lang", (F.col("own") / F.col("whole")).alias("share"))
+    missed = shares.join(F.broadcast(of_lang), "lang").groupBy("source", "unit").agg(F.exp(F.sum(F.col("n") * F.log1p(-F.least("share", F.lit(1 - 1e-9))))).alias("missed"))
+    expected = missed.groupBy("unit").agg(F.sum(1 - F.col("missed")).alias("expected"))
+    return frozenset(r.unit for r in common.join(expected, "unit").where(F.col("sources") < GATHERED * F.col("expected")).select("unit").collect())
+
+
 def learn(counts: list[tuple[str, str, str, str, int]], model: LanguageModel, prior: dict[str, dict[str, float]] | None = None, weight: float = 2.0) -> dict[str, dict[str, float]]:
     """unit -> hypothesis -> share, by expectation-maximization; the hypothesis '' is the unit as it stands."""
     by_unit: dict[str, list] = defaultdict(list)
@@ -230,7 +249,8 @@ def learn(counts: list[tuple[str, str, str, str, int]], model: LanguageModel, pr
     for unit, rows in by_unit.items():
         letters = suspicious(unit, model)
         # One letter for another shows inside words; a sign that never touches a letter is meant as it stands.
-        if not letters or len(unit) == 1 and prior is None and not any("a" <= x <= "z" for _, b, a, _ in rows for x in (b, a)):
+        alone = len(unit) == 1 and prior is None and not (unit.isalpha() and unit in model.gathered)
+        if not letters or alone and not any("a" <= x <= "z" for _, b, a, _ in rows for x in (b, a)):
             continue
         stand = 0.2 if len(unit) > 1 else 0.7
         start = (prior or {}).get(unit) or {"": stand, **{x: (1 - stand) / len(letters) for x in letters}}
@@ -270,7 +290,7 @@ def repair(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col:
     spark = df.sparkSession
     counts = cut(unit_counts(df, text_col, lang_col, source_col))
     pooled = [tuple(r) for r in counts.groupBy("lang", "unit", "before", "after").agg(F.sum("n")).collect()]  # bounded by languages x alphabet x neighbours
-    model = LanguageModel(pooled)
+    model = LanguageModel(pooled, gathered_units(counts))
     corpus = learn(pooled, model)
     # Units with a real share of letters; the others are meant as they stand throughout.
     corpus = {u: t for u, t in corpus.items() if 1 - t[""] > 0.01}

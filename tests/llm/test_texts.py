@@ -122,6 +122,20 @@ def test_restores_and_spares(spark, documents):
     assert out == want
 
 
+def test_restores_a_hot_source_of_one_byte_letters(spark):
+    """A third of the rows in one source, cp1252 read as cp1251: the cipher's characters are common in the corpus."""
+    docs, want = [], {}
+    for k in range(240):
+        lang, t = (("fr", FR), ("de", DE), ("en", EN))[k % 3]
+        docs.append((k, t, lang, f"s{k % 8}"))
+        if k % 2:
+            docs.append((1000 + k, garbled(t, "cp1252", "cp1251"), lang, "hot"))
+            if docs[-1][1] != t:
+                want[1000 + k] = t
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")
+    assert {r.doc_id: r.restored for r in encoding.repair(df, "doc_id", "text", "lang", "source").collect()} == want
+
+
 def test_clean_or_empty_texts(spark):
     df = spark.createDataFrame([(1, "ok", "en", "s"), (2, None, None, None)], "doc_id bigint, text string, lang string, source string")
     assert encoding.repair(df, "doc_id", "text", "lang", "source").count() == 0
