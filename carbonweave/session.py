@@ -8,18 +8,22 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 
-#: Rows above which a side is never offered for broadcast by our own hints.
+#: Rows and bytes (as text) above which a side is never offered for broadcast by our own hints.
 BROADCAST_ROW_BOUND = 50_000
+BROADCAST_BYTE_BOUND = 16_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: `spark.checkpoint.dir` where the cluster names one, else (tests) our own."""
+    """The shared folder for checkpoints: `spark.checkpoint.dir` where the cluster names one; our own only on a local master."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise SessionError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "carbonweave-checkpoints"))
         current = sc.getCheckpointDir()
     return current
@@ -35,9 +39,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """Hints a broadcast only after counting that the side has at most `most` rows; else leaves the join to shuffle."""
-    return broadcast(df) if df.limit(most + 1).count() <= most else df
+def is_small(df: DataFrame, most: int = BROADCAST_ROW_BOUND, most_bytes: int = BROADCAST_BYTE_BOUND) -> bool:
+    """Whether the side has at most `most` rows and, written out, at most `most_bytes` bytes; at most `most` + 1 rows are looked at."""
+    n, size = df.limit(most + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return n <= most and (size or 0) <= most_bytes
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROW_BOUND, most_bytes: int = BROADCAST_BYTE_BOUND) -> DataFrame:
+    """Hints a broadcast only after counting the side's rows and bytes; else leaves the join to shuffle."""
+    return broadcast(df) if is_small(df, most, most_bytes) else df
+
+
+def python_tasks(spark: SparkSession) -> int:
+    """Tasks for a Python stage whose input is far smaller than its work, which adaptive execution would put into one."""
+    return 2 * spark.sparkContext.defaultParallelism
 
 
 _shipped: set[str] = set()
