@@ -21,9 +21,9 @@ def test_longest_mention_wins():
     assert Matcher([(4, "led by"), (2, "led by")]).resolve("led by") == 2
 
 
-@pytest.mark.parametrize("bound", [50_000, 0])
-def test_rows(spark, monkeypatch, bound):
-    monkeypatch.setattr(canonical, "BROADCAST_ROW_BOUND", bound)
+@pytest.mark.parametrize("fits", [True, False])
+def test_rows(spark, monkeypatch, fits):
+    monkeypatch.setattr(canonical, "is_small", lambda df: fits)
     values = [*CASES, None, "REPORTS_METRIC", "word " * 20_000, "photo credit"]
     rows = spark.createDataFrame([(k, v, "clash") for k, v in enumerate(values)], "triple_id bigint, predicate string, cw_value string")
     catalog = spark.createDataFrame(LIST, "predicate_id bigint, predicate string")
@@ -33,3 +33,28 @@ def test_rows(spark, monkeypatch, bound):
     none = map_to_canonical(rows, "triple_id", "predicate", catalog.where("false"), "predicate_id", "predicate").collect()
     assert {r.predicate_id for r in none} == {0}
     assert map_to_canonical(rows.where("false"), "triple_id", "predicate", catalog, "predicate_id", "predicate").count() == 0
+
+
+def test_long_values_are_read_whole():
+    m = Matcher([(1, "HAS_SUPPLIER"), (2, "COMMITS_TO_NET_ZERO"), (3, "OPERATES_IN")])
+    filler = "lorem ipsum dolor amet quux zyx blorb".split()
+    for n in (13, 60, 3000):
+        words = [filler[k % 7] for k in range(n)]
+        for at in (0, n // 2, n):
+            assert m.resolve(" ".join([*words[:at], "has", "suplier", *words[at:]])) == 1
+            assert m.resolve(" ".join([*words[:at], "having", "suppliers", *words[at:]])) == 1
+        assert m.resolve(" ".join(words)) == 0
+
+
+def test_run_together_values_of_any_length():
+    entries = [(1, "COMMITS_TO_NET_ZERO"), (2, "DISTRIBUTES_REFRIGERATED_MERCHANDISE_THROUGH_INTERMEDIARIES"), (3, "HAS_SUPPLIER")]
+    m = Matcher(entries)
+    assert m.resolve("comittsnetzero") == 1 and m.resolve("commitstonetzeros") == 1
+    assert m.resolve("distributsrefrigeratedmerchandisethroughintermediaris") == 2
+    assert m.resolve("suplierhas") == 3 and m.resolve("x" * 5000) == 0
+
+
+def test_forms_of_words_are_one_pattern():
+    m = Matcher([(7, "HOLDS_SITES_LED_BY"), (8, "HOLDS_SITES")], {"owned plants": 8})
+    assert m.resolve("we held sites led by others") == 7 and m.resolve("holding site now") == 8
+    assert m.resolve("owned plants") == 8 and m.mention(["owned", "plant"]) == 0
