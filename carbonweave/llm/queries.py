@@ -84,7 +84,21 @@ iw as (select distinct item_id, array_to_string(w[i : i + 11], ' ') span from w,
 d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents where text is not null),
 dw as (select distinct doc_id, array_to_string(w[i : i + 11], ' ') span from d, lateral (select unnest(range(1, len(w) - 10)) i))
 select distinct doc_id, item_id from dw join iw using (span)"""
+#: Runs of words by gaps and islands over the shift between item and document; offsets from the lengths of words and of what stands between.
+_P7_WHERE = r"""with w as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from eval_items where text is not null),
+iw as (select item_id, i, array_to_string(w[i : i + 11], ' ') span from w, lateral (select unnest(range(1, len(w) - 10)) i)),
+d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w, regexp_extract_all(text, '[\p{L}\p{N}]+') raw, string_split_regex(text, '[\p{L}\p{N}]+') gap from documents where text is not null),
+dw as (select doc_id, i, array_to_string(w[i : i + 11], ' ') span from d, lateral (select unnest(range(1, len(w) - 10)) i)),
+hit as (select distinct doc_id, item_id, dw.i spot, dw.i - iw.i as shift from dw join iw using (span)),
+island as (select *, spot - row_number() over (partition by doc_id, item_id, shift order by spot) g from hit),
+run as (select doc_id, item_id, min(spot) low, max(spot) + 11 high, count(*) + 11 words from island group by doc_id, item_id, shift, g),
+best as (select doc_id, item_id, min(low) low, max(high) high, max(words) words from run group by 1, 2)
+select doc_id, item_id, cast(words as integer) words,
+  cast(list_sum(list_transform(gap[1 : low], lambda x: length(x))) + coalesce(list_sum(list_transform(raw[1 : low - 1], lambda x: length(x))), 0) as integer) first_offset,
+  cast(list_sum(list_transform(gap[1 : high], lambda x: length(x))) + list_sum(list_transform(raw[1 : high], lambda x: length(x))) as integer) last_offset
+from best join d using (doc_id)"""
 SQL: dict[str, str] = {
+    "p7_where": _P7_WHERE,
     "p2_found": _P2 + "select a as triple_id_a, triple_id as triple_id_b from ranked where triple_id <> a",
     "p2_collapsed": _P2 + "select triple_id, n as n_copies from ranked where triple_id = a",
     "p7_found": _P7,

@@ -46,7 +46,9 @@ def test_pack_empty(spark):
     assert packing.pack(spark.createDataFrame([], "id bigint, n bigint"), "id", "n").count() == 0
 
 
-def test_leaks_against_brute_force(spark):
+@pytest.mark.parametrize("block", [leakage.BLOCK_WORDS, 40])
+def test_leaks_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", block)
     rng = random.Random(7)
     words = [f"w{k}" for k in range(40)] + ["Größe", "é", "x9"]
     say = lambda n: [rng.choice(words) for _ in range(n)]
@@ -79,6 +81,18 @@ def test_leaks_against_brute_force(spark):
     assert leakage.find_leaks(df, "doc_id", "text", ev.where("false"), "item_id", "text").count() == 0
 
 
+def test_thousands_of_items_are_one_scan(spark):
+    rng = random.Random(17)
+    items = [(k, " ".join(f"{rng.choice('abcdef')}{rng.randrange(500)}" for _ in range(20))) for k in range(6001)]
+    items += [(6000, items[17][1]), (3, items[17][1])]
+    assert len(list(leakage._blocks(iter(sorted(items))))) == 1
+    docs = spark.createDataFrame([(k, f"x, {items[k * 700][1].upper()}. y") for k in range(8)] + [(9, f"z {items[17][1]}")], "doc_id bigint, text string")
+    hits = leakage.find_leaks(docs, "doc_id", "text", spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text")
+    assert sum("MapInArrow" in line for line in hits._jdf.queryExecution().executedPlan().toString().splitlines()) == 1
+    got = sorted((r.doc_id, r.item_id, r.words) for r in hits.collect())
+    assert got == sorted([(k, k * 700, 20) for k in range(8)] + [(9, 17, 20), (9, 3, 20), (9, 6000, 20)])
+
+
 FR = "Le café près de l’hôtel a été rénové, très élégant à côté du château. "
 DE = "Die Küche prüft Größen für Öfen, übergeordnet und schön: „heiß“. "
 EN = "The café said “no” — it’s 5 °C over 3 m³. "
