@@ -3,7 +3,8 @@
 Nothing of a name list is built in but the legal forms, titles and short forms of given names below.
 Which words are common (descriptors, trades) is learned from counts over all names: a common word
 stands in many different names, a proper word in few. Typed tokens are then read as the common word
-they abbreviate or misspell, and what is left over is the proper word that identifies the bearer.
+they abbreviate or misspell, and what is left over is the proper word that identifies the bearer. Given
+names are learned too (variants.learn_given); the short forms only say which of them mean one another.
 """
 
 from __future__ import annotations
@@ -25,9 +26,6 @@ SHORT_FORMS = {
     "tom": "thomas", "tommy": "thomas", "vicky": "victoria", "vicki": "victoria", "tori": "victoria", "bill": "william", "will": "william", "billy": "william", "liam": "william", "steve": "stephen", "dave": "david", "sam": "samuel", "ben": "benjamin", "greg": "gregory", "andy": "andrew", "matt": "matthew", "becky": "rebecca", "cathy": "catherine", "charlie": "charles", "chuck": "charles", "fred": "frederick", "harry": "henry", "jack": "john", "larry": "lawrence", "ron": "ronald", "sandy": "sandra", "tim": "timothy", "barb": "barbara", "cindy": "cynthia", "dot": "dorothy", "jeff": "jeffrey", "ken": "kenneth", "don": "donald",
 }
 LONG_LEGAL = ("company", "corporation", "incorporated", "limited")
-MOST_TOKENS = 9
-#: Words of a name that read as no common word, at most: the proper word and two that went wrong.
-MOST_UNREAD = 3
 #: Share of its names in which a descriptor stands next to the proper word, at least.
 BESIDE = 0.75
 
@@ -44,7 +42,7 @@ def name_tokens(name: str) -> list[str]:
 class Vocabulary:
     """Common words of names and the reading of typed tokens as one of them."""
 
-    def __init__(self, words: dict[str, int], beside: dict[str, float]) -> None:
+    def __init__(self, words: dict[str, int], beside: dict[str, float], given: set[str] | frozenset[str] = frozenset()) -> None:
         """words: names per common word. beside: share of them in which it stands next to a rare word.
 
         A descriptor is a common word that keeps beside the proper word; trades do so only now and then.
@@ -56,11 +54,12 @@ class Vocabulary:
             if len(w) >= 4 and not any(len(f) > len(w) and f[0] == w[0] and is_subsequence(w, f) or 5 * n < words[f] and osa(w, f, 1) <= 1 for f in self.full):
                 self.full.append(w)
         self.descriptors = {w for w in self.full if beside.get(w, 0.0) >= BESIDE}
+        self.given = GivenNames(given)
         self._ready()
 
     @classmethod
-    def of(cls, full: list[str], descriptors: set[str]) -> Vocabulary:
-        v = cls({}, {})
+    def of(cls, full: list[str], descriptors: set[str], given: set[str] | frozenset[str] = frozenset()) -> Vocabulary:
+        v = cls({}, {}, given)
         v.full, v.descriptors = full, descriptors
         v._ready()
         return v
@@ -97,8 +96,7 @@ class Vocabulary:
                     x = max(x, 0.7)
             if x:
                 found.append((w, x))
-        return tuple(sorted(found, key=lambda f: (-f[1], f[0]))[:4])
-
+        return tuple(sorted(found, key=lambda f: (-f[1], f[0])))
 
     def split(self, t: str) -> list[str] | None:
         """Two common words run together, at most one letter between them."""
@@ -113,7 +111,7 @@ def parse_org(name: str, v: Vocabulary) -> tuple[str, str, str, str] | None:
     """(proper word, descriptor, trade, legal form) or None where the name has not that shape."""
     ts = [t for t in name_tokens(name) if t not in NOISE]
     words = [t for t in ts if t != ","]
-    if not 2 <= len(words) <= MOST_TOKENS or any(c.isdigit() for t in words for c in t):
+    if len(words) < 2 or any(c.isdigit() for t in words for c in t):
         return None
     legal, rest = [], []
     for k, t in enumerate(words):
@@ -125,10 +123,7 @@ def parse_org(name: str, v: Vocabulary) -> tuple[str, str, str, str] | None:
     if len(rest) < 2:
         return None
     readings = [v.read(t) for t in rest]
-    unread = sum(not r for r in readings)
-    if unread > MOST_UNREAD:
-        return None
-    if unread > 1:
+    if sum(not r for r in readings) > 1:
         # Legal forms that were mistyped, and two words typed as one.
         for k in range(len(rest) - 1, -1, -1):
             if readings[k]:
@@ -149,7 +144,8 @@ def parse_org(name: str, v: Vocabulary) -> tuple[str, str, str, str] | None:
         return None
     at = scored[0][1]
     proper = rest[at]
-    if len(proper) < 5:
+    # A word of few letters is as likely the rest of another word, unless all others are read without doubt.
+    if len(proper) < 5 and (readings[at] or any(not r or r[0][1] < 1 for k, r in enumerate(readings) if k != at)):
         return None
     descriptor, trade = "", []
     near = [k for k in (at + 1, at - 1) if 0 <= k < len(rest)]
@@ -164,11 +160,41 @@ def parse_org(name: str, v: Vocabulary) -> tuple[str, str, str, str] | None:
     return proper, descriptor, " ".join(sorted(set(trade))), " ".join(sorted(set(legal)))
 
 
-GIVEN_NAMES = frozenset(SHORT_FORMS.values())
+class GivenNames:
+    """Known given names, found again with slips by letters left out of either side."""
+
+    def __init__(self, learned: set[str] | frozenset[str] = frozenset()) -> None:
+        self.known = frozenset(SHORT_FORMS.values()) | learned
+        self.near: dict[str, list[str]] = {}
+        for g in sorted(self.known):
+            for w in _left_out(g, 2 if len(g) >= 7 else 1):
+                self.near.setdefault(w, []).append(g)
+
+    def read(self, typed: str, most: int) -> str | None:
+        """The given name that is meant: its long form, or the nearest known one within `most` slips."""
+        name = SHORT_FORMS.get(typed, typed)
+        # A short name with a slip is as likely another word.
+        if name in self.known or not most or len(name) < 4:
+            return name if name in self.known else None
+        met = {g for w in _left_out(name, most) for g in self.near.get(w, ()) if len(g) > 4}
+        d, g = min(((osa(name, g, most), g) for g in met), default=(9, ""))
+        return SHORT_FORMS.get(g, g) if d <= most else None
+
 
+def _left_out(word: str, most: int) -> set[str]:
+    out = edge = {word}
+    for _ in range(most):
+        edge = {w[:i] + w[i + 1 :] for w in edge for i in range(len(w))}
+        out = out | edge
+    return out
 
-def parse_person(name: str, most: int = 1) -> tuple[str, str, str] | None:
-    """(surname, given name or initial, middle initial) or None; the given name may have `most` slips, one more when long."""
+
+def parse_person(name: str, v: Vocabulary, most: int = 1) -> tuple[str, str, str, str] | None:
+    """kind, surname, given name or initial, middle initial; or None. The given name may have `most` slips, one more when long.
+
+    kind p: the given name is known, or the form shows the person (initials, or "Surname, Given" of words
+    that are not both common). kind q: two words that may be a given name and a surname.
+    """
     raw = [t for t in name_tokens(name) if t not in NOISE]
     comma = "," in raw
     ts = [t for t in raw if t != ","]
@@ -179,21 +205,22 @@ def parse_person(name: str, most: int = 1) -> tuple[str, str, str] | None:
         if head != 1:
             return None
         ts = ts[1:] + ts[:1]
-    if len(ts) == 2 and len(ts[1]) == 2 and len(ts[0]) > 3:
-        return ts[0], ts[1][0], ts[1][1]
+    if len(ts) == 2 and len(ts[1]) == 2 and len(ts[0]) > 3 and not comma and not v.given.read(ts[0], 0):
+        return "p", ts[0], ts[1][0], ts[1][1]
     if len(ts) == 3 and len(ts[1]) == 1 and len(ts[2]) == 1:
-        return ts[0], ts[1], ts[2]
+        return "p", ts[0], ts[1], ts[2]
     surname, first, middle = ts[-1], ts[0], ts[1][0] if len(ts) > 2 else ""
-    if len(surname) < 4:
+    if len(surname) < 2:
+        return None
+    if len(first) == 1:
+        return ("p", surname, first, middle) if len(surname) > 3 or comma else None
+    given = v.given.read(first, most + (most and len(first) >= 9))
+    if given:
+        return "p", surname, given, middle
+    # An unknown given name: not both may be common words, and the form tells how sure it is.
+    if not most or len(ts) > 2 and len(ts[1]) > 1 or v.read(surname) and v.read(first):
         return None
-    if len(first) > 1:
-        first = SHORT_FORMS.get(first, first)
-        if first not in GIVEN_NAMES:
-            near = min(((osa(first, g, 2), g) for g in GIVEN_NAMES if abs(len(g) - len(first)) <= 2), default=(9, ""))
-            if not most or near[0] > most + (len(first) >= 9):
-                return None
-            first = near[1]
-    return surname, first, middle
+    return "p" if comma else "q", surname, first, middle
 
 
 def sounds(word: str) -> str:
@@ -202,15 +229,15 @@ def sounds(word: str) -> str:
 
 
 def parse_name(name: str, v: Vocabulary) -> tuple[str, str, str, str, str] | None:
-    """kind (p or o), proper word, second part, third part, legal form; None for what is no name.
+    """kind (p, q or o), proper word, second part, third part, legal form; None for what is no name.
 
     A known given name makes a person; a mistyped one does unless the name reads as an organisation
-    whose words are all typed right.
+    whose words are all typed right. q: a person only if another spelling bears it out.
     """
-    person = parse_person(name, 0)
+    person = parse_person(name, v, 0)
     if person is None:
         org = parse_org(name, v)
-        person = parse_person(name, 1)
-        if org and (person is None or any(t in v.descriptors for t in name_tokens(name))):
+        person = parse_person(name, v, 1)
+        if org and (person is None or person[0] == "q" or any(t in v.descriptors for t in name_tokens(name))):
             return ("o", sounds(org[0]), *org[1:])
-    return ("p", sounds(person[0]), *person[1:], "") if person else None
+    return (person[0], sounds(person[1]), *person[2:], "") if person else None

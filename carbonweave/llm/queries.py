@@ -48,16 +48,24 @@ _ENTITY_COLUMNS = {"id": "erp_id", "name": "supplier_name", "region": "region",
 
 
 def p4_matched(spark: SparkSession, d: str) -> DataFrame:
-    return matching.match_entities(table(spark, d, "erp_records"), table(spark, d, TRIPLES), _ENTITY_COLUMNS)
+    return matching.match_entities(table(spark, d, "erp_records"), table(spark, d, TRIPLES), _ENTITY_COLUMNS, table(spark, d, "predicate_catalog"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_matched(spark, d).select("erp_id", "subject_key")
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def _names(spark: SparkSession, d: str) -> list[tuple[DataFrame, str, bool]]:
     triples = table(spark, d, TRIPLES)
-    return variants.link_spellings([(triples, "subject", True), (triples, "object_value", False), (table(spark, d, "erp_records"), "supplier_name", True)])
+    return [(triples, "subject", True), (triples, "object_value", False), (table(spark, d, "erp_records"), "supplier_name", True)]
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.link_spellings(_names(spark, d))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return variants.class_members(_names(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +73,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return fixed.select("doc_id", F.coalesce(F.md5(F.col("restored").cast("binary")), F.lit("")).alias("restored_md5"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_matched": p4_matched, "p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p7_where": p7_where, "p8_found": p8_found, "p3_found": p3_found, "p2_found": p2_found, "p2_collapsed": p2_collapsed}
+QUERIES = {"p4_found": p4_found, "p4_matched": p4_matched, "p5_found": p5_found, "p5_classes": p5_classes, "p6_packed": p6_packed, "p7_found": p7_found, "p7_where": p7_where, "p8_found": p8_found, "p3_found": p3_found, "p2_found": p2_found, "p2_collapsed": p2_collapsed}
 #: Content letter by letter: letters, digits and signs, a point between digits, a hyphen-minus that starts a number.
 _P2 = r"""with part as (
   select triple_id, 's' as what, subject as x from chipotle_2024_triples union all select triple_id, 'p', predicate from chipotle_2024_triples union all select triple_id, 'o', object_value from chipotle_2024_triples

@@ -4,17 +4,26 @@ Every distinct spelling (by key: lower case, letters and digits only) is parsed
 with equal parts merge at once. Then rounds run: each profile (a merged set of spellings: the union of
 its proper words, trades, legal forms, given names and initials) enters blocks made from its proper
 words with up to two letters left out, together with its descriptor; profiles that share a block are
-compared; matches merge, and the richer profiles enter blocking again, until no merge occurs.
+compared; matches merge, and the richer profiles enter blocking again, until no merge occurs (every
+round with a merge lowers the number of profiles, so the rounds end).
+
+Given names are learned from forms that only persons have ("Surname, Given", "Given M. Surname"). Two words
+that may be a person of a given name not learned count as one once another spelling bears them out: the
+same two words the other way round after a comma, or the surname with the initial. Names that have neither
+shape - of one word, with digits, without a common word - link where all words but the legal form are
+equal and at least one spelling shows a legal form.
 
 Scale: rows are aggregated to distinct spellings before anything else, so a subject with a third of
 all rows is one record. Blocks hold profiles, not rows: two profiles share a block only if their
-proper words differ by few letters and their descriptor is equal. Pairs of spellings are given out per
-entity at the end because the result is defined as pairs. Rounds end in reliable checkpoints.
-
-Defined results: null, blank and over-long texts, texts with digits and texts without the shape of a
-name give nothing; a name that could belong to several entities and has nothing to tell them apart is
-left unlinked; repeated rows change nothing; ties fall to the smaller key; empty tables give an empty
-result.
+proper words differ by few letters and their descriptor is equal; a block that many profiles share is
+split on both sides by adaptive execution. class_members is the form for large data (one row per spelling);
+linked_pairs spells out the pairs of each class where the result is defined as pairs. Rounds end in
+reliable checkpoints.
+
+Defined results: null and blank texts and texts without the shape of a name give nothing; a name that
+could belong to several entities and has nothing to tell them apart is left unlinked; so are bare words
+between two legal forms; texts are read whole; repeated rows change nothing; ties fall to the smaller key;
+empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -30,15 +39,14 @@ from pyspark.sql import functions as F
 
 from carbonweave.llm.names import LEGAL, NOISE, Vocabulary, name_tokens, parse_name
 from carbonweave.llm.strings import osa
-from carbonweave.session import cut
+from carbonweave.session import cut, small
 
-MOST_CHARS = 120
-MOST_ROUNDS = 12
-#: Grown profiles whose blocks (some dozens each) are broadcast in the last rounds; more are shuffled.
-FEW = 1_000
 #: A common word stands in at least this share of the names, which bounds their number.
 COMMON_SHARE = 0.008
+#: A given name stands with this many surnames, and with this share of all spellings at least, which bounds their number.
+GIVEN_SURNAMES, GIVEN_SHARE = 3, 1e-5
 _RECORD = "key string, kind string, proper string, second string, third string, legal string"
+#: Legal forms that mean the same.
 _LEGAL_NAMES = {"limited": "ltd", "ges": "gmbh", "mbh": "gmbh", "incorporated": "inc", "corporation": "corp", "company": "co"}
 
 
@@ -46,17 +54,36 @@ def key_column(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
 
 
-def spellings(columns: list[tuple[DataFrame, str, bool]]) -> DataFrame:
-    """key, text, named: each distinct key with its most frequent text. named: from a column that mostly holds names."""
+#: What a name of words has: no digit, and two words at least.
+_WORDS = r"\p{L}[^\p{L}]+\p{L}"
+
+
+def spellings(columns: list[tuple[DataFrame, str, bool]], shaped: bool = False) -> DataFrame:
+    """key, text, named, shaped: each distinct key with its most frequent text. named: from a column that mostly holds names.
+
+    shaped: whether the text is words without digits; as an argument, to get only those.
+    """
     parts = [df.select(F.col(c).cast("string").alias("text"), F.lit(named).alias("named")) for df, c, named in columns]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    # The cheap test first: most values that are no names hold a plain digit.
-    rows = rows.where(F.col("text").isNotNull() & ~F.col("text").rlike("[0-9]") & (F.length("text") <= MOST_CHARS))
-    rows = rows.where(F.col("text").rlike(r"\p{L}[^\p{L}]+\p{L}") & ~F.col("text").rlike(r"\p{N}"))
+    # The cheap tests first: most values that are no names hold a plain digit.
+    no_digit = lambda c: ~c.rlike("[0-9]") & ~c.rlike(r"\p{N}")
+    rows = rows.where(F.col("text").isNotNull())
+    rows = rows.where(no_digit(F.col("text")) & F.col("text").rlike(_WORDS)) if shaped else rows.where(F.col("text").rlike(r"\p{L}"))
     texts = rows.groupBy("text").agg(F.count("*").alias("n"), F.max("named").alias("named")).withColumn("key", key_column(F.col("text")))
-    return texts.groupBy("key").agg(F.max_by("text", F.struct("n", "text")).alias("text"), F.max("named").alias("named")).where("key <> ''")
+    keys = texts.groupBy("key").agg(F.max_by("text", F.struct("n", "text")).alias("text"), F.max("named").alias("named")).where("key <> ''")
+    return keys.withColumn("shaped", F.lit(True) if shaped else no_digit(F.col("key")) & F.col("text").rlike(_WORDS))
+
+
+def learn_given(names: DataFrame) -> set[str]:
+    """Given names from the forms that only persons have; at most 1 / GIVEN_SHARE of them."""
+    t = F.col("text")
+    after = lambda k: F.regexp_extract(t, r"^(\p{L}{2,}), (\p{L}{3,})(?: \p{L}\.?)?$", k)
+    middle = lambda k: F.regexp_extract(t, r"^(\p{L}{3,}) \p{L}\.? (\p{L}{2,})$", k)
+    seen = names.where(t.rlike(r"^\p{L}+(?:,| \p{L}\.?) \p{L}+(?: \p{L}\.?)?$")).select(F.lower(F.when(after(1) != "", after(1)).otherwise(middle(2))).alias("surname"), F.lower(F.when(after(1) != "", after(2)).otherwise(middle(1))).alias("given"))
+    counted = seen.where("given <> ''").groupBy("given").agg(F.count_distinct("surname").alias("n"))
+    return {r.given for r in counted.where(F.col("n") >= max(GIVEN_SURNAMES, GIVEN_SHARE * names.count())).collect()}
 
 
 def learn_vocabulary(names: DataFrame) -> Vocabulary:
@@ -95,12 +122,13 @@ def learn_vocabulary(names: DataFrame) -> Vocabulary:
     told = pairs.groupBy("word").agg(F.count_if(F.col("other") != "").alias("others"), (F.sum("beside") / F.sum("n")).alias("share")).collect()
     # A common word stands with many different rare words, a proper word with few.
     kept = {r.word: common[r.word] for r in told if r.others >= max(3, 0.25 * common[r.word])}
-    return Vocabulary(kept, {r.word: r.share for r in told if r.word in kept})
+    given = learn_given(names)
+    return Vocabulary({w: n for w, n in kept.items() if w not in given}, {r.word: r.share for r in told if r.word in kept}, given)
 
 
 def parsed(names: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """One record of parts for each spelling that has the shape of a name."""
-    spec = (vocabulary.full, vocabulary.descriptors)
+    spec = (vocabulary.full, vocabulary.descriptors, vocabulary.given.known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary.of(*spec)
@@ -118,10 +146,10 @@ def parsed(names: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def shortened(word: str, most: int) -> set[str]:
-    """The word with up to `most` letters left out."""
+    """The word with up to `most` letters left out; short words stay closer to themselves."""
     out = {word}
     edge = {word}
-    for _ in range(most if len(word) > 5 else 1):
+    for _ in range(most if len(word) > 5 else 1 if len(word) > 2 else 0):
         edge = {w[:i] + w[i + 1 :] for w in edge for i in range(len(w))}
         out |= edge
     return out
@@ -152,8 +180,8 @@ def _blocked(profiles: DataFrame, most: int) -> DataFrame:
 
 
 def near(a: list[str], b: list[str]) -> int:
-    """Fewest edits between any two proper words of two profiles."""
-    return min(osa(x, y, 2) for x in a for y in b)
+    """Fewest edits between any two proper words of two profiles that are long enough for them; 9 for none."""
+    return min((d for x in a for y in b if (d := osa(x, y, 2)) <= (0 if min(len(x), len(y)) < 4 else 1 if min(len(x), len(y)) < 7 else 2)), default=9)
 
 
 def given_match(a: list[str], b: list[str]) -> int:
@@ -167,7 +195,7 @@ def given_match(a: list[str], b: list[str]) -> int:
 def compare(kind: str, a: tuple[list[str], ...], b: tuple[list[str], ...]) -> tuple[int, int] | None:
     """(strength, edits): strength 2 a match, 1 a match if it is the only one; None for no match."""
     d = near(a[0], b[0])
-    if d > 2 or d == 2 and min(len(a[0][0]), len(b[0][0])) < 7:
+    if d > 2:
         return None
     if kind == "p":
         g = given_match(a[1], b[1])
@@ -196,8 +224,7 @@ def _links(profiles: DataFrame, most: int, changed: DataFrame | None) -> DataFra
     else:
         # Only a profile that grew can find new partners: its blocks meet those of all others.
         grown = _blocked(profiles.join(changed, "cluster", "left_semi"), most).withColumnRenamed("cluster", "other")
-        few = changed.limit(FEW + 1).count() <= FEW
-        met = blocks.join(F.broadcast(grown) if few else grown, "block").where("cluster <> other")
+        met = blocks.join(small(grown), "block").where("cluster <> other")
         pairs = met.select(F.least("cluster", "other").alias("cluster"), F.greatest("cluster", "other").alias("other")).distinct()
     side = lambda p: profiles.select(F.col("cluster").alias("cluster" if p == "a" else "other"), *([F.col("kind")] if p == "a" else []), *[F.col(c).alias(f"{p}_{c}") for c in ("propers", "seconds", "thirds", "legals")])
 
@@ -246,30 +273,80 @@ def _labels(links: DataFrame) -> DataFrame:
     return label
 
 
-def resolve(records: DataFrame, most: int = 2, rounds: int = MOST_ROUNDS) -> DataFrame:
+def borne_out(records: DataFrame) -> DataFrame:
+    """Records with those of kind q (two words that may be a person) made persons where another spelling bears them out, else left out."""
+    maybe = records.where("kind = 'q'")
+    persons = records.where("kind = 'p'")
+    # The same surname and given name, or the surname with the given name's initial.
+    whole = persons.select("proper", "second").distinct()
+    proven = maybe.join(whole, ["proper", "second"], "left_semi").select("key")
+    initials = persons.where(F.length("second") == 1).select("proper", F.col("second").alias("initial")).distinct()
+    by_initial = maybe.withColumn("initial", F.substring("second", 1, 1)).join(initials, ["proper", "initial"], "left_semi").select("key")
+    added = maybe.join(proven.unionByName(by_initial).distinct(), "key", "left_semi").withColumn("kind", F.lit("p"))
+    return records.where("kind <> 'q'").unionByName(added)
+
+
+def resolve(records: DataFrame, most: int = 2) -> DataFrame:
     """records with their entity as column cluster."""
+    records = cut(borne_out(records))
     same = records.groupBy("kind", "proper", "second", "third").agg(F.min("key").alias("cluster"))
     current = cut(records.join(same, ["kind", "proper", "second", "third"]))
     changed = None
-    for _ in range(rounds):
+    while True:
         scored = cut(_links(cut(_profiles(current)), most, changed))
         links, torn = _settled(scored)
         links = cut(links)
         if links.isEmpty():
-            break
+            return current
         label = _labels(links)
         current = cut(current.join(label.withColumnRenamed("a", "cluster"), "cluster", "left").withColumn("cluster", F.coalesce("label", "cluster")).drop("label"))
         # A profile whose candidates disagree is judged anew against all of them.
         changed = cut(label.select(F.col("label").alias("cluster")).unionByName(torn).distinct())
-    return current
 
 
-def linked_pairs(resolved: DataFrame) -> DataFrame:
+def equal_but_legal(names: DataFrame, parsed_: DataFrame) -> DataFrame:
+    """cluster, key of names without the shape of parsed ones whose words are equal but for the legal form.
+
+    Words that two different legal forms share are two organisations, and the bare words belong to neither.
+    """
+    known = F.create_map(*[F.lit(x) for t in sorted(LEGAL) for x in (t, _LEGAL_NAMES.get(t, t))])
+    dotless = F.regexp_replace(F.lower("text"), r"(?<=\b\p{L})\.(?=\p{L}\b)", "")
+    words = F.filter(F.split(dotless, r"[^\p{L}\p{N}]+"), lambda t: (t != "") & (t != "the"))
+    rest = names.join(parsed_.select("key"), "key", "left_anti").select("key", "text")
+    shown = rest.where(dotless.rlike(rf"\b(?:{'|'.join(sorted(LEGAL))})\b")).select("key", words.alias("words"))
+    legal = F.array_sort(F.array_distinct(F.transform(F.filter("words", lambda t: t.isin(*LEGAL)), lambda t: F.try_element_at(known, t))))
+    formed = cut(shown.select("key", F.array_join(F.filter("words", lambda t: ~t.isin(*LEGAL)), "").alias("core"), F.array_join(legal, " ").alias("legal")).where("core <> '' and legal <> ''"))
+    forms = formed.groupBy("core").agg(F.count_distinct("legal").alias("forms"))
+    one = forms.where("forms = 1").select("core")
+    # The key of the bare words is the core itself.
+    bare = rest.select("key", F.col("key").alias("core")).join(small(one), "core", "left_semi").select("core", "key")
+    single = formed.join(one, "core", "left_semi").select("core", "key").unionByName(bare)
+    several = formed.join(forms.where("forms > 1").select("core"), "core", "left_semi").select(F.concat_ws("|", "core", "legal").alias("core"), "key")
+    members = cut(single.unionByName(several).distinct())
+    heads = members.groupBy("core").agg(F.min("key").alias("cluster"), F.count("*").alias("n")).where("n > 1").select("core", "cluster")
+    return members.join(heads, "core").select("cluster", "key")
+
+
+def classes(columns: list[tuple[DataFrame, str, bool]]) -> DataFrame:
+    """cluster, key of every spelling that belongs to an entity, lone ones among them."""
+    names = cut(spellings(columns))
+    shaped = names.where("shaped")
+    records = cut(parsed(shaped, learn_vocabulary(shaped)))
+    resolved = resolve(records)
+    return cut(resolved.select("cluster", "key").unionByName(equal_but_legal(names, resolved)).distinct())
+
+
+def class_members(columns: list[tuple[DataFrame, str, bool]]) -> DataFrame:
+    """key, class_id, n_links: one row per spelling that is linked with others, its class and with how many."""
+    members = classes(columns)
+    size = members.groupBy("cluster").agg(F.min("key").alias("class_id"), (F.count("*") - 1).alias("n_links")).where("n_links > 0")
+    return members.join(size, "cluster").select("key", "class_id", "n_links")
+
+
+def linked_pairs(members: DataFrame) -> DataFrame:
     """(name_a, name_b) for every two keys of one entity."""
-    members = resolved.select("cluster", "key").distinct()
     return members.select("cluster", F.col("key").alias("name_a")).join(members.select("cluster", F.col("key").alias("name_b")), "cluster").where("name_a < name_b").select("name_a", "name_b")
 
 
 def link_spellings(columns: list[tuple[DataFrame, str, bool]]) -> DataFrame:
-    names = cut(spellings(columns))
-    return linked_pairs(resolve(cut(parsed(names, learn_vocabulary(names)))))
+    return linked_pairs(classes(columns))

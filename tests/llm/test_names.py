@@ -70,6 +70,69 @@ def test_same_name_of_two_trades_stays_apart(spark):
         assert not [p for p in got if key(s) in p]
 
 
+def key(s):
+    return "".join(c for c in s.lower() if c.isalnum())
+
+
+def linked(spark, names):
+    df = spark.createDataFrame([(s,) for s in names], "n string")
+    return {tuple(r) for r in variants.link_spellings([(df, "n", True)]).collect()}
+
+
+def pair(a, b):
+    return tuple(sorted((key(a), key(b))))
+
+
+def test_names_of_other_shapes_link(spark):
+    same = [["Siemens AG", "Siemens", "Siemens A.G."], ["Microsoft Corp.", "Microsoft Corporation", "Microsoft"], ["3M Company", "3M Co.", "3M"], ["Hans Mueller", "Mueller, Hans", "H. Mueller", "Mueller, H."], ["Bob Lee", "Robert Lee", "Lee, Robert"], ["Priya Raman", "Raman, Priya"]]
+    alone = ["Total emissions", "Net zero", "Section 3", "Section 4", "we", "Table 3M", "Acme AG", "Acme Inc", "Acme", None, "", "x" * 3000, "long phrase of words " * 400, "Heike Mueller-Lüdenscheidt"]
+    got = linked(spark, [n for group in same for n in group] + alone)
+    want = {pair(a, b) for group in same for a, b in itertools.combinations({key(n): n for n in group}.values(), 2)}
+    assert got == want
+
+
+def test_given_names_are_learned(spark):
+    surnames = ["Okonkwo", "Lindqvist", "Tanaka", "Moreau"]
+    names = [f"{s}, Ngozi" for s in surnames] + ["Ngozi Halvorsen", "Nogzi Halvorsen", "Ngozi B. Petrov", "Ngozi Petrov", "Dairy Halvorsen"]
+    df = spark.createDataFrame([(key(s), s) for s in names], "key string, text string")
+    assert variants.learn_given(df) == {"ngozi"}
+    assert linked(spark, names) == {pair("Ngozi Halvorsen", "Nogzi Halvorsen"), pair("Ngozi B. Petrov", "Ngozi Petrov")}
+
+
+def test_long_names_and_short_proper_words(spark):
+    orgs = organisations(60)
+    names = [s for s, _ in rows_of(orgs)]
+    names += ["Bako Granite Logistics Ltd", "Logistics, Bako Granite Ltd", "The " + "Zuvolera Harbour Dairy Products Manufacturing Cold Storage Logistics Foods Inc. Ltd. Company", "Zuvolera Harbour Dairy Products Manufacturing Cold Storage Logistics Foods"]
+    got = linked(spark, names)
+    assert pair(*names[-4:-2]) in got and pair(*names[-2:]) in got
+
+
+def test_classes_count_links(spark):
+    df = spark.createDataFrame([("Siemens AG",), ("Siemens",), ("Siemens A.G",), ("Acme Ltd",)], "n string")
+    rows = {tuple(r) for r in variants.class_members([(df, "n", True)]).collect()}
+    assert rows == {("siemens", "siemens", 1), ("siemensag", "siemens", 1)}
+
+
+def test_registry_chains_are_one_organisation(spark):
+    rows = [(1, "a", "bakolidu", 10.0), (2, "b", "bakolidumu", 10.0), (3, "c", "bakolidumuro", 10.0), (4, "d", "zzzzzzzzz", 10.0)]
+    registry = spark.createDataFrame([(i, k, s, "r") for i, k, _, s in rows], "id bigint, name_key string, spend double, region_key string")
+    parts = spark.createDataFrame([(k, p, "granite", "foods") for _, k, p, _ in rows], "key string, proper string, second string, third string")
+    orgs = {r.id: r.org for r in matching.registry_orgs(registry, parts).collect()}
+    assert orgs[1] == orgs[2] == orgs[3] != orgs[4]
+
+
+def test_confidence_is_calibrated():
+    rng = random.Random(3)
+    truth = {1: 1.0, 2: 0.98, 3: 0.9, 4: 0.8, 5: 0.6}
+    same, chance = 0.94, 0.07
+    told = {r: (3000, sum(rng.random() < (same if rng.random() < p else chance) for _ in range(3000))) for r, p in truth.items()}
+    got = matching._confidences(told, chance)
+    assert all(abs(got[r] - p) < 0.05 for r, p in truth.items())
+    assert list(got.values()) == sorted(got.values(), reverse=True)
+    assert matching._confidences({1: (0, 0), 2: (10, 10), 3: (10, 5), 4: (10, 8)}, 0.0)[3] == matching._confidences({1: (0, 0), 2: (10, 10), 3: (10, 5), 4: (10, 8)}, 0.0)[4]
+    assert matching._confidences({}, 0.0) == {}
+
+
 def test_empty_inputs(spark):
     df = spark.createDataFrame([], "n string")
     assert variants.link_spellings([(df, "n", True)]).count() == 0
