@@ -16,9 +16,11 @@ from carbonweave.ontology import DEFAULT_PREDICATE, DEFAULT_SUBJECT, FALLBACK_LA
 BLANKS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: What counts as a number; engines differ in what their casts let through.
 NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
-#: A run that starts with a capital, as names in a question do.
+#: Fixed value: a run that starts with a capital, as names in a question do.
 CANDIDATE = r"[A-Z][a-zA-Z0-9&\.\-\s]{1,40}"
+#: Words of a question that ask for targets.
 TARGET_WORDS = ("target", "net-zero", "netzero", "commit", "reduction")
+#: Words of an error message that tell of a spent quota.
 QUOTA_WORDS = ("429", "quota", "resource exhausted", "rate limit")
 
 
@@ -93,6 +95,12 @@ def extra_properties(props: Column, hidden: Sequence[str]) -> Column:
     return F.map_filter(props, lambda k, v: ~k.isin(*hidden) & v.isNotNull())
 
 
+def merged(old: Column, new: Column) -> Column:
+    """old with the entries of new set over it; an entry that is null in new is taken out."""
+    kept = F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k))
+    return F.map_filter(F.map_concat(kept, new), lambda k, v: v.isNotNull())
+
+
 def entries_text(props: Column) -> Column:
     """Map entries in key order as one text, for output and comparison."""
     pairs = F.array_sort(F.transform(F.map_entries(props), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))))

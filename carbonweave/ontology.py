@@ -36,5 +36,23 @@ OBJECT_LABELS = {
 #: Labels that are identified by their value and not by a name.
 VALUE_KEYED = ("EmissionMetric", "Year")
 
-#: Properties of a node that are bookkeeping and never shown as extras.
-BOOKKEEPING = ("name", "value", "latitude", "longitude", "erp_loaded", "source")
+#: Properties that a map entry does not repeat as extras.
+MAP_HIDDEN = ("latitude", "longitude", "name", "value", "_is_new", "_new_node")
+#: Properties that the detail view of a node hides.
+DETAIL_HIDDEN = ("_is_new", "_new_node", "geocode_failed")
+
+#: Spend categories and regions of supplier records.
+SPEND_CATEGORIES = ("Raw Materials", "Packaging", "Logistics", "Energy", "IT Services", "Manufacturing Components", "Professional Services", "Facilities")
+REGIONS = ("North America", "Europe", "Asia Pacific", "Latin America", "Middle East")
+
+#: Example questions and their categories.
+SUGGESTIONS = (
+    ("Which companies have the highest Scope 3 emissions?", "Emissions"),
+    ("What are the net-zero targets in the graph?", "Targets"),
+    ("List all Tier 1 suppliers and their regions.", "Supply Chain"),
+    ("Which companies report under GRI standards?", "Governance"),
+    ("What Scope 3 categories are most common?", "Emissions"),
+    ("Which suppliers have the highest annual spend?", "Supply Chain"),
+    ("Are there any companies with reduction targets?", "Targets"),
+    ("Show me facilities and where they are located.", "Locations"),
+)

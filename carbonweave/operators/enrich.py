@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carbonweave.functions.text import merged
+from carbonweave.operators.graph import Graph, node_id
 from carbonweave.session import small
 
 REFRESHED = ("annual_spend_usd", "supply_chain_tier", "contract_active")
@@ -27,7 +29,7 @@ def upsert_suppliers(nodes: DataFrame, erp: DataFrame) -> DataFrame:
     columns = (*REFRESHED, *CREATED_ONLY)
     kinds = {"annual_spend_usd": "double", "supply_chain_tier": "int", "contract_active": "boolean", "erp_loaded": "boolean"}
     have = nodes.select("key", F.lit(True).alias("there"), *[(F.col(c) if c in nodes.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(f"o_{c}") for c in columns])
-    new = erp.select(F.col("supplier_name").alias("key"), F.lit(True).alias("sent"), F.col("annual_spend_usd").alias("n_annual_spend_usd"), F.col("tier").cast("int").alias("n_supply_chain_tier"), F.col("contract_active").alias("n_contract_active"), F.col("spend_category").alias("n_spend_category"), F.col("region").alias("n_region"), F.lit("erp").alias("n_source"), F.lit(True).alias("n_erp_loaded"))
+    new = erp.select(F.col("supplier_name").alias("key"), F.lit(True).alias("sent"), F.col("annual_spend_usd").alias("n_annual_spend_usd"), F.col("tier").cast("int").alias("n_supply_chain_tier"), F.col("contract_active").alias("n_contract_active"), F.col("spend_category").alias("n_spend_category"), F.col("region").alias("n_region"), F.lit("ERP").alias("n_source"), F.lit(True).alias("n_erp_loaded"))
     j = have.join(new, "key", "full")
     sent, there = F.coalesce("sent", F.lit(False)), F.coalesce("there", F.lit(False))
     refreshed = [F.when(sent, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c) for c in REFRESHED]
@@ -39,6 +41,44 @@ def upsert_stats(upserted: DataFrame) -> DataFrame:
     return upserted.agg(F.count_if("was_new").alias("created"), F.count_if(~F.col("was_new")).alias("updated"), F.lit(0).cast("bigint").alias("errors"))
 
 
+def _amount(c: str, kind: str) -> F.Column:
+    return F.col(c).cast(kind).cast("string")
+
+
+def load_suppliers(graph: Graph, erp: DataFrame) -> Graph:
+    """The graph with supplier records on its Company nodes; names without a node get one.
+
+    A node that is created takes all properties; one that exists only spend, tier and contract. erp: one
+    row per supplier_name.
+    """
+    refreshed = [F.lit("annual_spend_usd"), _amount("annual_spend_usd", "decimal(20,2)"), F.lit("supply_chain_tier"), _amount("tier", "int"), F.lit("contract_active"), F.col("contract_active").cast("string")]
+    created = [F.lit("erp_loaded"), F.lit("true"), F.lit("spend_category"), F.col("spend_category"), F.lit("region"), F.col("region"), F.lit("source"), F.lit("ERP")]
+    is_new = lambda v: [F.lit("_is_new"), F.lit(v)]
+    sent = erp.select(node_id(F.lit("Company"), F.col("supplier_name")).alias("node_id"), F.col("supplier_name").alias("sent_key"), F.create_map(*is_new("false"), *refreshed).alias("on_match"), F.create_map(F.lit("name"), F.col("supplier_name"), *is_new("true"), *refreshed, *created).alias("on_create"))
+    j = graph.with_props().nodes.join(sent, "node_id", "full")
+    props = F.when(F.col("sent_key").isNull(), F.col("props")).when(F.col("key").isNull(), F.map_filter("on_create", lambda k, v: v.isNotNull())).otherwise(merged(F.col("props"), F.col("on_match")))
+    return graph.with_nodes(j.select("node_id", F.coalesce("label", F.lit("Company")).alias("label"), F.coalesce("key", "sent_key").alias("key"), props.alias("props")))
+
+
+def load_coordinates(graph: Graph, labels: tuple[str, ...], gazetteer: DataFrame) -> Graph:
+    """The graph with latitude and longitude, or geocode_failed, on the nodes of the labels that lack them."""
+    g = graph.with_props()
+    here = gazetteer.select(F.col("name").alias("key"), _amount("latitude", "decimal(12,6)").alias("lat"), _amount("longitude", "decimal(12,6)").alias("lon")).dropDuplicates(["key"]).withColumn("found", F.lit(True))
+    have = lambda k: F.try_element_at("props", F.lit(k))
+    work = F.col("label").isin(*labels) & (have("latitude").isNull() | have("longitude").isNull()) & (F.coalesce(have("geocode_failed"), F.lit("false")) != "true")
+    j = g.nodes.withColumn("work", work).join(small(here), "key", "left")
+    placed = F.create_map(F.lit("latitude"), F.col("lat"), F.lit("longitude"), F.col("lon"))
+    failed = F.create_map(F.lit("geocode_failed"), F.lit("true"))
+    props = F.when(~F.col("work"), F.col("props")).when(F.coalesce("found", F.lit(False)), merged(F.col("props"), placed)).otherwise(merged(F.col("props"), failed))
+    return g.with_nodes(j.select("node_id", "label", "key", props.alias("props")))
+
+
+def geocoded(graph: Graph) -> DataFrame:
+    """label, name, latitude, longitude, props of every node with coordinates, whatever its label."""
+    at = lambda k: F.try_element_at("props", F.lit(k)).try_cast("double").alias(k)
+    return graph.with_props().nodes.select("label", F.col("key").alias("name"), at("latitude"), at("longitude"), "props").where("latitude is not null and longitude is not null")
+
+
 def geocode(nodes: DataFrame, label: str, gazetteer: DataFrame) -> DataFrame:
     """Nodes of the label that lack coordinates and are not marked failed, looked up by name: latitude, longitude, geocode_failed.
 

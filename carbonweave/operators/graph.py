@@ -1,6 +1,6 @@
 """The property graph as two DataFrames, built set-wise from triples.
 
-nodes: node_id (label:key), label, key. edges: src, type, dst, props. Node and edge creation is
+nodes: node_id (label:key), label, key and, once enriched, props. edges: src, type, dst, props. Node and edge creation is
 match-or-create, expressed as deduplication: running it again on the same triples changes nothing.
 """
 
@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carbonweave.functions.text import metadata_map, normalize_predicate, object_label, strip, subject_label
-from carbonweave.ontology import QUERY_LABELS
+from carbonweave.functions.text import identity_property, metadata_map, normalize_predicate, object_label, strip, subject_label
+from carbonweave.ontology import FALLBACK_LABEL, QUERY_LABELS
 from carbonweave.session import cut
 
 
@@ -65,6 +65,12 @@ class Graph:
         """Edges at a node in either direction; a self-loop comes once."""
         return self.edges.where((F.col("src") == node) | (F.col("dst") == node))
 
+    def with_props(self) -> Graph:
+        """The graph whose nodes carry their properties as props; at first the one that identifies them."""
+        if "props" in self.nodes.columns:
+            return self
+        return self.with_nodes(self.nodes.withColumn("props", F.create_map(identity_property(F.col("label")), F.col("key"))))
+
     def with_nodes(self, nodes: DataFrame) -> Graph:
         return replace(self, nodes=nodes)
 
@@ -78,6 +84,26 @@ def merge_edges(e: DataFrame) -> DataFrame:
     return last.groupBy("src", "type", "dst").agg(F.map_from_entries(pairs).alias("props"))
 
 
+def node_rows(nodes: DataFrame) -> DataFrame:
+    """id, label, name, properties: what a node looks like to a reader; properties without nulls."""
+    p = F.col("props")
+    name = F.coalesce(F.nullif(F.try_element_at(p, F.lit("name")), F.lit("")), F.nullif(F.try_element_at(p, F.lit("value")), F.lit("")), "node_id")
+    return nodes.select(F.col("node_id").alias("id"), F.coalesce("label", F.lit(FALLBACK_LABEL)).alias("label"), name.alias("name"), F.map_filter(p, lambda k, v: v.isNotNull()).alias("properties"))
+
+
+def edge_rows(edges: DataFrame) -> DataFrame:
+    """source, target, type, properties without nulls."""
+    return edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), "type", F.map_filter("props", lambda k, v: v.isNotNull()).alias("properties"))
+
+
+def list_nodes(graph: Graph, label: str | None = None, skip: int = 0, limit: int = 50) -> DataFrame:
+    """A page of nodes in order of label and key."""
+    if skip < 0 or not 1 <= limit <= 500:
+        raise ValueError("skip must be 0 or more and limit 1..500")
+    nodes = graph.with_props().nodes if label is None else graph.with_props().label(label)
+    return node_rows(nodes.orderBy("label", "key").offset(skip).limit(limit))
+
+
 def merge_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """Adds the nodes that are not there yet."""
     missing = new.select("node_id", "label", "key").distinct().join(nodes.select("node_id"), "node_id", "left_anti")

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carbonweave.functions.text import merged
 from carbonweave.operators.graph import Graph, one_row
 from carbonweave.session import cut
 
@@ -256,7 +257,17 @@ def merge_pairs_in_order(graph: Graph, pairs: list[tuple[str, str]], label: str
 
 
 def drop_with_edges(graph: Graph, mapping: DataFrame, label: str = "Company") -> Graph:
-    """The degenerate merge: duplicates go, and their edges with them."""
-    m = mapping.where("name <> canonical").select(F.concat(F.lit(f"{label}:"), "name").alias("dup"))
-    edges = graph.edges.join(m.withColumnRenamed("dup", "src"), "src", "left_anti").join(m.withColumnRenamed("dup", "dst"), "dst", "left_anti")
-    return Graph(graph.nodes.join(m.withColumnRenamed("dup", "node_id"), "node_id", "left_anti"), edges)
+    """The degenerate merge: the canonical node takes its duplicates' properties, duplicates go, and their edges with them.
+
+    The property that identifies the canonical node stays; of several duplicates the last in order of names prevails.
+    """
+    m = mapping.where("name <> canonical").select(F.concat(F.lit(f"{label}:"), "name").alias("dup"), F.concat(F.lit(f"{label}:"), "canonical").alias("can"))
+    dups = m.select("dup").distinct()
+    edges = graph.edges.join(dups.withColumnRenamed("dup", "src"), "src", "left_anti").join(dups.withColumnRenamed("dup", "dst"), "dst", "left_anti")
+    nodes = graph.nodes
+    if "props" in nodes.columns:
+        one = nodes.join(m, nodes.node_id == m.dup).select("can", "dup", F.explode("props").alias("k", "v")).where(~F.col("k").isin("name", "value"))
+        last = one.groupBy("can", "k").agg(F.max_by("v", "dup").alias("v")).groupBy("can").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("taken"))
+        j = nodes.join(last, nodes.node_id == last.can, "left")
+        nodes = j.select("node_id", "label", "key", F.when(F.col("taken").isNull(), F.col("props")).otherwise(merged(F.col("props"), F.col("taken"))).alias("props"))
+    return Graph(nodes.join(dups.withColumnRenamed("dup", "node_id"), "node_id", "left_anti"), edges)

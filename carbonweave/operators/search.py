@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,24 +17,20 @@ def tokens(c: F.Column) -> F.Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(names: DataFrame, column: str) -> DataFrame:
-    """name, token, tf, length of each distinct name."""
-    n = names.select(F.col(column).alias("name")).where("name is not null").distinct().select("name", tokens(F.col("name")).alias("ts"))
-    return n.select("name", F.size("ts").alias("length"), F.explode("ts").alias("token")).groupBy("name", "length", "token").agg(F.count("*").alias("tf"))
-
-
 def bm25(names: DataFrame, column: str, query: str, limit: int = 20) -> DataFrame:
-    """name, score of the best `limit` names for the query's tokens."""
+    """name, score of the best `limit` names for the query's tokens; names without one are left out before anything is grouped."""
     if not 1 <= limit <= 100:
         raise ValueError("limit must be 1..100")
-    p = postings(names, column)
-    words = names.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(tokens(F.col("q")))).alias("token"))
-    sizes = names.select(F.col(column).alias("name")).where("name is not null").distinct().agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("name")))).alias("mean"))
-    n, mean = sizes.select("n").scalar(), sizes.select("mean").scalar()
-    hits = p.join(F.broadcast(words), "token")
+    words = sorted(set(re.findall(r"[^\W_]+", query.lower())))
+    n = names.select(F.col(column).alias("name")).where("name is not null").distinct().select("name", tokens(F.col("name")).alias("ts"))
+    sizes = n.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("mean"))
+    total, mean = sizes.select("n").scalar(), sizes.select("mean").scalar()
+    asked = F.array(*map(F.lit, words)).cast("array<string>")
+    held = n.where(F.arrays_overlap("ts", asked)).select("name", "ts", F.explode(F.array_intersect("ts", asked)).alias("token"))
+    hits = held.select("name", "token", F.size("ts").alias("length"), F.size(F.filter("ts", lambda t: t == F.col("token"))).alias("tf"))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     # At most one row per word of the query.
-    scored = hits.join(F.broadcast(df), "token").withColumn("n", n).withColumn("mean", mean)
+    scored = hits.join(F.broadcast(df), "token").withColumn("n", total).withColumn("mean", mean)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return scored.groupBy("name").agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), "name").limit(limit)

@@ -13,6 +13,7 @@ from carbonweave.operators.graph import Graph
 from carbonweave.session import cut
 
 MOST_HOPS = 3
+MOST_CHAIN = 500
 
 
 def distances(graph: Graph, root: str, hops: int) -> DataFrame:
@@ -43,12 +44,20 @@ def ego(graph: Graph, root: str, hops: int, limit: int = 200) -> Graph:
 
 
 def node_detail(graph: Graph, label: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """The node and its edges in either direction, with their properties; both empty where there is none."""
     node = graph.label(label).where(F.col("key") == key)
     return node, graph.incident(f"{label}:{key}")
 
 
-def supply_chain(graph: Graph, limit: int = 500) -> DataFrame:
-    if not 1 <= limit <= 2000:
-        raise ValueError("limit must be 1..2000")
+def supply_chain(graph: Graph, limit: int = MOST_CHAIN) -> DataFrame:
+    """Edges between companies that supply one another, in order of their ends."""
+    if not 1 <= limit <= MOST_CHAIN:
+        raise ValueError(f"limit must be 1..{MOST_CHAIN}")
     pairs = graph.edges.where(F.col("type").isin("HAS_SUPPLIER", "SUPPLIES_TO") & F.col("src").startswith("Company:") & F.col("dst").startswith("Company:"))
-    return pairs.select("src", "type", "dst").orderBy("src", "type", "dst").limit(limit)
+    return pairs.orderBy("src", "type", "dst").limit(limit)
+
+
+def supply_chain_nodes(graph: Graph, chain: DataFrame) -> DataFrame:
+    """The nodes at the ends of a chain's edges, each once."""
+    ends = chain.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    return graph.with_props().nodes.join(ends, "node_id", "left_semi")

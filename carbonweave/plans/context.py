@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carbonweave.functions.text import asks_for_targets, candidate_names, to_number
+from carbonweave.functions.text import TARGET_WORDS, candidate_names, to_number
 from carbonweave.operators.graph import Graph
 from carbonweave.operators.search import containing_any
 
 MOST_FACTS, MOST_TOP, MOST_TARGETS = 20, 5, 10
+FACT_COLUMNS = ("company", "emission", "unit", "year", "scope", "net_zero_year", "supplier")
+#: The default unit, and headings and wording of the context.
+UNIT = "tCO2e"
+FACTS_HEAD, TOP_HEAD, TARGETS_HEAD = "Specific company data:", "Top 5 emitters:", "Net-zero commitments:"
 
 
 def named_companies(graph: Graph, questions: DataFrame) -> DataFrame:
@@ -19,23 +23,49 @@ def named_companies(graph: Graph, questions: DataFrame) -> DataFrame:
     return containing_any(companies, "company", q, "part").select("question_id", "company").distinct()
 
 
+def _branches(graph: Graph) -> list[tuple[DataFrame, list[str]]]:
+    """The independent optional patterns of a company. A metric's year and scope hang on the metric."""
+    metric = graph.pattern("Company", ["REPORTS_EMISSION"], "EmissionMetric", "company", "emission")
+    year = graph.pattern("EmissionMetric", ["MEASURED_IN_YEAR"], "Year", "emission", "year")
+    scope = graph.pattern("EmissionMetric", ["FALLS_UNDER_SCOPE"], "Scope", "emission", "scope")
+    return [
+        (metric.join(year, "emission", "left").join(scope, "emission", "left"), ["emission", "year", "scope"]),
+        (graph.pattern("Company", ["COMMITS_TO_NET_ZERO"], "Year", "company", "net_zero_year"), ["net_zero_year"]),
+        (graph.pattern("Company", ["HAS_SUPPLIER"], "Company", "company", "supplier"), ["supplier"]),
+    ]
+
+
 def company_facts(graph: Graph, companies: DataFrame) -> DataFrame:
-    """company with metric, year, region, supplier and target: independent optional patterns, distinct rows."""
-    out = companies
-    for types, label, name in ((["REPORTS_EMISSION"], "EmissionMetric", "metric"), (["COMMITS_TO_NET_ZERO"], "Year", "net_zero"), (["OPERATES_IN"], "Region", "region"), (["HAS_SUPPLIER"], "Company", "supplier"), (["SETS_TARGET"], "Target", "target")):
-        out = out.join(graph.pattern("Company", types, label, "company", name), "company", "left")
-    return out.distinct()
+    """company, emission, unit, year, scope, net_zero_year, supplier: every combination of a company's optional facts, each once."""
+    out = companies.select("company").distinct()
+    for branch, columns in _branches(graph):
+        out = out.join(branch.select("company", *columns).distinct(), "company", "left")
+    return out.withColumn("unit", F.lit(UNIT)).select(*FACT_COLUMNS)
 
 
 def facts(graph: Graph, companies: DataFrame, limit: int = MOST_FACTS) -> DataFrame:
-    columns = ["company", "metric", "net_zero", "region", "supplier", "target"]
-    return company_facts(graph, companies).select(*columns).orderBy(*[F.col(c).asc_nulls_first() for c in columns]).limit(limit)
+    """The first `limit` combinations in order of their columns.
+
+    That order is the order of the branches one after the other, so the first combinations need the first
+    `limit` companies and of each branch a company's first `limit` rows; the full product is never formed.
+    """
+    out = companies.select("company").distinct().orderBy("company").limit(limit)
+    for branch, columns in _branches(graph):
+        order = Window.partitionBy("company").orderBy(*[F.col(c).asc_nulls_first() for c in columns])
+        few = branch.join(F.broadcast(companies.select("company").distinct().orderBy("company").limit(limit)), "company", "left_semi")
+        few = few.select("company", *columns).distinct().withColumn("cw_rank", F.row_number().over(order)).where(F.col("cw_rank") <= limit).drop("cw_rank")
+        out = out.join(few, "company", "left")
+    rows = out.withColumn("unit", F.lit(UNIT)).select(*FACT_COLUMNS)
+    return rows.orderBy(*[F.col(c).asc_nulls_first() for c in FACT_COLUMNS]).limit(limit)
 
 
 def top_emitters(graph: Graph, limit: int = MOST_TOP) -> DataFrame:
-    """company, value: unparseable values sort first and stay."""
+    """company, value, unit, scope: unparseable values sort first and stay."""
     p = graph.pattern("Company", ["REPORTS_EMISSION"], "EmissionMetric", "company", "value")
-    return p.orderBy(to_number(F.col("value")).desc_nulls_first(), "company", "value").limit(limit)
+    scope = graph.pattern("EmissionMetric", ["FALLS_UNDER_SCOPE"], "Scope", "value", "scope")
+    order = [to_number(F.col("value")).desc_nulls_first(), "company", "value", F.col("scope").asc_nulls_first()]
+    # A left join only adds rows, so the first `limit` metrics hold the first `limit` rows.
+    return p.orderBy(*order[:3]).limit(limit).join(scope, "value", "left").orderBy(*order).limit(limit).select("company", "value", F.lit(UNIT).alias("unit"), "scope")
 
 
 def target_lines(graph: Graph, limit: int = MOST_TARGETS) -> DataFrame:
@@ -43,16 +73,36 @@ def target_lines(graph: Graph, limit: int = MOST_TARGETS) -> DataFrame:
     return p.orderBy("year", "company").limit(limit)
 
 
+def _numbered(rows: DataFrame, part: int, order: list[F.Column], lines: list[F.Column]) -> DataFrame:
+    """part, row, item, line of a few rows that are to stand in the given order; null lines are left out."""
+    numbered = rows.withColumn("row", F.row_number().over(Window.partitionBy(F.lit(part)).orderBy(*order)))
+    return numbered.select(F.lit(part).alias("part"), "row", F.posexplode(F.array(*lines)).alias("item", "line")).where("line is not null")
+
+
 def context_text(graph: Graph, question: str) -> DataFrame:
-    """context, context_used of one question; the targets part only where the question asks for them."""
-    spark = graph.nodes.sparkSession
-    q = spark.createDataFrame([(0, question)], "question_id int, question string")
-    lines = facts(graph, named_companies(graph, q).select("company")).select(F.lit(1).alias("part"), F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), c) for c in ("company", "metric", "net_zero", "region", "supplier", "target")]).alias("line"))
-    lines = lines.unionByName(top_emitters(graph).select(F.lit(2).alias("part"), F.concat_ws(": ", "company", "value").alias("line")))
-    aims = target_lines(graph).select(F.lit(3).alias("part"), F.concat("company", F.lit(" commits to net zero by "), "year").alias("line"))
-    lines = lines.unionByName(aims.join(F.broadcast(q), asks_for_targets(F.col("question"))).select("part", "line"))
-    text = lines.agg(F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "line"))), lambda x: x["line"]), "\n"), F.lit("")).alias("context"))
-    return text.withColumn("context_used", F.col("context") != "")
+    """context, sources, context_used of one question; the targets stand only where the question asks for them."""
+    q = graph.nodes.sparkSession.createDataFrame([(0, question)], "question_id int, question string")
+    company, text = F.col("company"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    about = F.concat(F.lit("("), F.coalesce(F.nullif("scope", F.lit("")), F.lit("unknown scope")))
+    found = facts(graph, named_companies(graph, q))
+    said = [
+        F.when(F.col("emission").isNotNull(), text("- ", company, ": ", F.col("emission"), " ", F.col("unit"), " ", about, ", ", F.coalesce(F.nullif("year", F.lit("")), F.lit("unknown year")), ")")),
+        F.when(F.coalesce("net_zero_year", F.lit("")) != "", text("- ", company, ": net-zero target by ", F.col("net_zero_year"))),
+        F.when(F.coalesce("supplier", F.lit("")) != "", text("- ", company, " has supplier: ", F.col("supplier"))),
+    ]
+    lines = _numbered(found, 1, [F.col(c).asc_nulls_first() for c in FACT_COLUMNS], said)
+    top = [to_number(F.col("value")).desc_nulls_first(), F.col("company"), F.col("value"), F.col("scope").asc_nulls_first()]
+    lines = lines.unionByName(_numbered(top_emitters(graph), 2, top, [text("- ", company, ": ", F.col("value"), " ", F.col("unit"), " ", about, ")")]))
+    if any(w in question.lower() for w in TARGET_WORDS):
+        lines = lines.unionByName(_numbered(target_lines(graph), 3, [F.col("year"), company], [text("- ", company, ": net-zero by ", F.col("year"))]))
+    # At most 3 x 20 + 5 + 10 lines.
+    heads = F.create_map(*[F.lit(x) for kv in enumerate((FACTS_HEAD, TOP_HEAD, TARGETS_HEAD), 1) for x in kv])
+    parts = lines.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("row", "item", "line"))).alias("ls"))
+    parts = parts.select("part", F.concat(heads[F.col("part")], F.lit("\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("text"))
+    named = found.select(F.lit(0).alias("part"), F.lit(None).cast("string").alias("text"), "company")
+    both = parts.withColumn("company", F.lit(None).cast("string")).unionByName(named)
+    out = both.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("part", "text")))), lambda x: x["text"]), "\n\n").alias("context"), F.array_join(F.array_sort(F.collect_set("company")), "|").alias("sources"))
+    return out.withColumn("context_used", F.col("context") != "")
 
 
 def sources(facts_: DataFrame) -> DataFrame:

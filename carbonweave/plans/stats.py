@@ -11,13 +11,14 @@ from carbonweave.operators.graph import Graph, one_row
 MOST_EMISSIONS = 500
 
 
-def summary(graph: Graph, tiers: DataFrame | None = None) -> DataFrame:
-    """One row of seven counts; suppliers are companies with a tier (tiers: key of each)."""
+def summary(graph: Graph) -> DataFrame:
+    """One row of seven counts; suppliers are the companies with a tier."""
+    graph = graph.with_props()
+    tier = F.try_element_at("props", F.lit("supply_chain_tier"))
     by = lambda label: F.count_if(F.col("label") == label)
-    n = graph.nodes.agg(F.count("*").alias("total_nodes"), by("Company").alias("companies"), by("EmissionMetric").alias("emission_metrics"), by("Region").alias("regions"), by("Facility").alias("facilities"))
+    n = graph.nodes.agg(F.count("*").alias("total_nodes"), by("Company").alias("companies"), by("EmissionMetric").alias("emission_metrics"), by("Region").alias("regions"), by("Facility").alias("facilities"), F.count_if((F.col("label") == "Company") & tier.isNotNull()).alias("suppliers"))
     e = graph.edges.agg(F.count("*").alias("total_relationships"))
-    s = tiers.agg(F.count("*").alias("suppliers")) if tiers is not None else n.select(F.lit(0).cast("bigint").alias("suppliers"))
-    return one_row(n, e, s).select("total_nodes", "total_relationships", "companies", "emission_metrics", "regions", "facilities", "suppliers")
+    return one_row(n, e).select("total_nodes", "total_relationships", "companies", "emission_metrics", "regions", "facilities", "suppliers")
 
 
 def emission_rows(graph: Graph) -> DataFrame:
@@ -42,7 +43,7 @@ def emissions(graph: Graph, limit: int = 50, mode: str = "fixed") -> DataFrame:
         cut = rows.orderBy(F.col("value").desc_nulls_first(), *ties).limit(limit).where("value is not null")
     else:
         cut = rows.where("value is not null").orderBy(F.col("value").desc(), *ties).limit(limit)
-    return cut.select("company", "value", F.lit("tCO2e").alias("unit"), F.coalesce("year", F.lit("")).alias("year"), F.coalesce("scope", F.lit("")).alias("scope"))
+    return cut.select("company", "value", F.lit("tCO2e").alias("unit"), F.coalesce("year", F.lit("unknown")).alias("year"), F.coalesce("scope", F.lit("unknown")).alias("scope"))
 
 
 def categories(graph: Graph) -> DataFrame:

@@ -6,6 +6,7 @@ star schema (fixture_graph) and the report triples.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 
 from carbonweave import fixture_graph
 from carbonweave.functions import text as X
-from carbonweave.ontology import BOOKKEEPING, LABELS, OBJECT_LABELS, QUERY_LABELS, SUBJECT_LABELS
+from carbonweave.ontology import DETAIL_HIDDEN, LABELS, MAP_HIDDEN, OBJECT_LABELS, QUERY_LABELS, REGIONS, SPEND_CATEGORIES, SUBJECT_LABELS, SUGGESTIONS
 from carbonweave.operators import chunking, enrich, resolve, search, traverse
-from carbonweave.operators.graph import Graph, broken_keys, ingest_stats, merge_nodes, normalize_triples, one_row
+from carbonweave.operators.graph import Graph, broken_keys, edge_rows, ingest_stats, list_nodes, merge_nodes, node_rows, normalize_triples, one_row
 from carbonweave.plans import context, stats
-from carbonweave.session import checkpoint_dir, cut, table
+from carbonweave.session import checkpoint_dir, cut, small, table
 from carbonweave.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,13 +29,13 @@ TRIPLES = "chipotle_2024_triples"
 ROOT = "Supplier#000000001"
 
 
-def query(name: str, sql: str | None = None, graph: bool = False, triples: bool = False) -> Callable[[Query], Query]:
-    """Registers a query; graph and triples put the shared table expressions ahead of its SQL."""
+def query(name: str, sql: str | None = None, graph: bool = False, triples: bool = False, enriched: bool = False) -> Callable[[Query], Query]:
+    """Registers a query; graph, triples and enriched put the shared table expressions ahead of its SQL."""
 
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            head = [*([fixture_graph.SQL.strip()] if graph else []), *([_NTRI] if triples else [])]
+            head = [*([fixture_graph.SQL.strip()] if graph else []), *([_NTRI] if triples or enriched else []), *([_ENRICHED] if enriched else [])]
             recursive = "recursive " if "recursive" in sql.split("select")[0] else ""
             body = sql.strip()
             SQL[name] = (f"with {recursive}" + ",\n".join(head) + (",\n" + body[5:] if body.startswith("with ") else "\n" + body)) if head else body
@@ -53,6 +54,27 @@ _NTRI = f"""raw as (select triple_id, source_file, metadata, {_STRIP("subject")}
 ntri as (select *, {_case(SUBJECT_LABELS, "Company")} sl, {_case(OBJECT_LABELS, "Entity")} ol from raw where s <> '' and o <> ''),
 tnodes as (select distinct label || ':' || key node_id, label, key from (select sl label, s key from ntri union all select ol, o from ntri)),
 tedges as (select distinct sl || ':' || s src, p as type, ol || ':' || o dst from ntri)"""
+_LATEST = "erp as (select * exclude rn from (select *, row_number() over (partition by supplier_name order by updated_at desc, erp_id desc) rn from erp_records where supplier_name is not null and supplier_name <> '') where rn = 1)"
+_LAST_EDGE_PROPS = """em_all as (select sl || ':' || s source, ol || ':' || o target, p as type, triple_id, unnest(map_keys(metadata)) k, unnest(map_values(metadata)) v from ntri),
+em_last as (select source, target, type, k, arg_max(v, triple_id) v from em_all where v is not null group by all)"""
+#: The triple graph with supplier records and coordinates, a row per node and property.
+_ENRICHED = f"""{_LATEST},
+en_erp as (select *, 'Company:' || supplier_name node_id, 'Company:' || supplier_name not in (select node_id from tnodes) fresh from erp),
+en_nodes as (select node_id, label, key from tnodes union all select node_id, 'Company', supplier_name from en_erp where fresh),
+en_geo as (select node_id, name is not null hit, cast(cast(latitude as decimal(12, 6)) as varchar) lat, cast(cast(longitude as decimal(12, 6)) as varchar) lon from tnodes left join gazetteer on name = key where label in ('Region', 'Facility')),
+en_props as (select node_id, case when label in ('EmissionMetric', 'Year') then 'value' else 'name' end k, key v from en_nodes
+  union all select node_id, '_is_new', case when fresh then 'true' else 'false' end from en_erp
+  union all select node_id, 'annual_spend_usd', cast(cast(annual_spend_usd as decimal(20, 2)) as varchar) from en_erp where annual_spend_usd is not null
+  union all select node_id, 'supply_chain_tier', cast(tier as varchar) from en_erp where tier is not null
+  union all select node_id, 'contract_active', case when contract_active then 'true' else 'false' end from en_erp where contract_active is not null
+  union all select node_id, 'spend_category', spend_category from en_erp where fresh and spend_category is not null
+  union all select node_id, 'region', region from en_erp where fresh and region is not null
+  union all select node_id, 'erp_loaded', 'true' from en_erp where fresh
+  union all select node_id, 'source', 'ERP' from en_erp where fresh
+  union all select node_id, 'latitude', lat from en_geo where lat is not null
+  union all select node_id, 'longitude', lon from en_geo where lon is not null
+  union all select node_id, 'geocode_failed', 'true' from en_geo where not hit)"""
+_PROP_TEXT = "coalesce(string_agg(k || '=' || v, ';' order by k || '=' || v), '')"
 
 
 def tpch(spark: SparkSession, d: str) -> Graph:
@@ -63,6 +85,21 @@ def triple_graph(spark: SparkSession, d: str, with_props: bool = False) -> Graph
     return Graph.from_triples(table(spark, d, TRIPLES), ["triple_id"], with_props)
 
 
+def enriched_graph(spark: SparkSession, d: str) -> Graph:
+    """The triple graph after the supplier load and the enrichment of places."""
+    g = enrich.load_suppliers(triple_graph(spark, d), _erp(spark, d))
+    return enrich.load_coordinates(g, ("Region", "Facility"), table(spark, d, "gazetteer"))
+
+
+def _shared(spark: SparkSession, d: str, what: str) -> str:
+    """A folder below the shared one, the same at every run over the same tables."""
+    return f"{checkpoint_dir(spark)}/{what}-{zlib.crc32(d.encode())}"
+
+
+def _text(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("properties", X.entries_text(F.col("properties")))
+
+
 # --- 2.1 sources and sinks ---------------------------------------------------------------------
 
 
@@ -95,14 +132,14 @@ def _(spark, d):
 @query("sc6_sc7_elements_roundtrip", "select element_type as type, count(*) n, sum(length(text)) chars from documents where element_type is not null and text is not null group by 1")
 def _(spark, d):
     docs = table(spark, d, "documents").where("element_type is not null and text is not null").select(F.col("element_type").alias("type"), "text", "lang")
-    path = f"{checkpoint_dir(spark)}/elements-{abs(hash(d))}"
+    path = _shared(spark, d, "elements")
     docs.coalesce(8).write.mode("overwrite").json(path)
     return spark.read.schema("type string, text string").json(path).groupBy("type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("sc8_sc9_triples_roundtrip", f"select predicate, count(*) n from {TRIPLES} where predicate is not null group by 1")
 def _(spark, d):
-    path = f"{checkpoint_dir(spark)}/triples-{abs(hash(d))}"
+    path = _shared(spark, d, "triples")
     files.write_triples(table(spark, d, TRIPLES).select("subject", "predicate", "object_value", "metadata"), path)
     return spark.read.schema("predicate string").json(path).where("predicate is not null").groupBy("predicate").agg(F.count("*").alias("n"))
 
@@ -116,7 +153,7 @@ def _(spark, d):
 @query("sc11_graph_sink", "select 'edges' as part, type as name, count(*) n from edges group by type union all select 'nodes', label, count(*) from nodes group by label", graph=True)
 def _(spark, d):
     g = tpch(spark, d)
-    path = f"{checkpoint_dir(spark)}/graph-{abs(hash(d))}"
+    path = _shared(spark, d, "graph")
     files.write_graph(g.nodes, g.edges.distinct(), path)
     n = spark.read.parquet(f"{path}/nodes").groupBy("label").count().select(F.lit("nodes").alias("part"), F.col("label").alias("name"), F.col("count").alias("n"))
     e = spark.read.parquet(f"{path}/edges").groupBy("type").count().select(F.lit("edges").alias("part"), F.col("type").alias("name"), F.col("count").alias("n"))
@@ -125,13 +162,13 @@ def _(spark, d):
 
 @query("sc13_erp_source")
 def _(spark, d):
-    return files.erp_fixture(table(spark, d, "supplier"), "s_name", ["Logistics", "Packaging", "Energy", "Facilities", "IT Services", "Raw Materials", "Professional Services", "Manufacturing Components"], ["North America", "Europe", "Asia Pacific", "Latin America", "Middle East"])
+    return files.erp_fixture(table(spark, d, "supplier"), "s_name", list(SPEND_CATEGORIES), list(REGIONS))
 
 
 @query("sc14_geocode_lookup", "select c.name, g.latitude, g.longitude from (select distinct region as name from erp_records where region is not null) c left join gazetteer g on g.name = c.name")
 def _(spark, d):
     names = table(spark, d, "erp_records").where("region is not null").select(F.col("region").alias("name")).distinct()
-    return names.join(table(spark, d, "gazetteer").hint("broadcast"), "name", "left").select("name", "latitude", "longitude")
+    return names.join(small(table(spark, d, "gazetteer")), "name", "left").select("name", "latitude", "longitude")
 
 
 @query("sc15_parameterised_sql", "select s_name, s_acctbal from supplier where s_nationkey = 7 and s_acctbal > 1000")
@@ -178,10 +215,9 @@ def _(spark, d):
     return table(spark, d, TRIPLES).agg(F.count("*").alias("rows"), F.count(X.empty_to_null(F.col("metadata"))).alias("with_metadata"))
 
 
-@query("pr7_node_rows", "select node_id as id, label, key as name from nodes", graph=True)
+@query("pr7_node_rows", f"select node_id as id, label, key as name, {_PROP_TEXT} as properties from en_nodes join en_props using (node_id) group by all", enriched=True)
 def _(spark, d):
-    n = tpch(spark, d).nodes.withColumn("prop_name", F.when(~F.col("label").isin("EmissionMetric", "Year"), F.col("key"))).withColumn("prop_value", F.when(F.col("label").isin("EmissionMetric", "Year"), F.col("key")))
-    return n.select(F.col("node_id").alias("id"), F.coalesce("label", F.lit("Entity")).alias("label"), F.coalesce(F.nullif("prop_name", F.lit("")), F.nullif("prop_value", F.lit("")), "node_id").alias("name"))
+    return _text(node_rows(enriched_graph(spark, d).nodes))
 
 
 @query(
@@ -197,10 +233,13 @@ def _(spark, d):
     return e.select(F.col("src").alias("source"), F.col("dst").alias("target"), "type", X.entries_text(F.map_filter("props", lambda k, v: v.isNotNull())).alias("properties"))
 
 
-@query("pr9_extra_properties", "select name, 'note=x' as extra from gazetteer")
+_MAP_EXTRA = f"select label, key as name, (select {_PROP_TEXT} from en_props p where p.node_id = n.node_id and k not in {MAP_HIDDEN}) as extra from en_nodes n where node_id in (select node_id from en_props where k = 'latitude')"
+
+
+@query("pr9_extra_properties", _MAP_EXTRA, enriched=True)
 def _(spark, d):
-    props = F.create_map(F.lit("name"), F.col("name"), F.lit("latitude"), F.col("latitude").cast("string"), F.lit("note"), F.lit("x"), F.lit("gone"), F.lit(None).cast("string"))
-    return table(spark, d, "gazetteer").select("name", X.entries_text(X.extra_properties(props, BOOKKEEPING)).alias("extra"))
+    g = enrich.geocoded(enriched_graph(spark, d))
+    return g.select("label", "name", X.entries_text(X.extra_properties(F.col("props"), MAP_HIDDEN)).alias("extra"))
 
 
 @query("pr10_constant_column", "select s_name as company, '' as description from supplier")
@@ -332,7 +371,7 @@ def _(spark, d):
 @query("fl14_range_checks", "select key from nodes where label = 'Scope' order by key limit 3", graph=True)
 def _(spark, d):
     g = tpch(spark, d)
-    for bad in (lambda: stats.emissions(g, 501), lambda: traverse.distances(g, "x", 4), lambda: search.bm25(g.nodes, "key", "q", 101), lambda: g.label("Nope")):
+    for bad in (lambda: stats.emissions(g, 501), lambda: traverse.distances(g, "x", 4), lambda: search.bm25(g.nodes, "key", "q", 101), lambda: traverse.supply_chain(g, 501), lambda: list_nodes(g, None, -1), lambda: list_nodes(g, None, 0, 501), lambda: g.label("Nope")):
         try:
             bad()
         except ValueError:
@@ -351,10 +390,9 @@ def _(spark, d):
     return tpch(spark, d).nodes.select("label").distinct()
 
 
-@query("fl17_hidden_properties", "select name, 'kind=place' as shown from gazetteer")
+@query("fl17_hidden_properties", f"select node_id as id, {_PROP_TEXT} as shown from en_props where k not in {DETAIL_HIDDEN} group by node_id", enriched=True)
 def _(spark, d):
-    props = F.create_map(F.lit("name"), F.col("name"), F.lit("source"), F.lit("g"), F.lit("kind"), F.lit("place"))
-    return table(spark, d, "gazetteer").select("name", X.entries_text(X.extra_properties(props, BOOKKEEPING)).alias("shown"))
+    return enriched_graph(spark, d).nodes.select(F.col("node_id").alias("id"), X.entries_text(X.extra_properties(F.col("props"), DETAIL_HIDDEN)).alias("shown"))
 
 
 # --- 2.4 joins and upserts ---------------------------------------------------------------------
@@ -371,9 +409,6 @@ def _(spark, d):
     return triple_graph(spark, d, True).edges.select("src", "dst", "type", X.entries_text("props").alias("props"))
 
 
-_LATEST = "erp as (select * exclude rn from (select *, row_number() over (partition by supplier_name order by updated_at desc, erp_id desc) rn from erp_records where supplier_name is not null and supplier_name <> '') where rn = 1)"
-
-
 def _erp(spark, d):
     return enrich.latest_records(table(spark, d, "erp_records"), "supplier_name", ["updated_at", "erp_id"])
 
@@ -388,7 +423,7 @@ def _upserted(spark, d):
     f"""with {_LATEST}, c as (select key from tnodes where label = 'Company')
 select coalesce(c.key, supplier_name) as key, annual_spend_usd, cast(tier as integer) as supply_chain_tier, contract_active,
  case when c.key is null then spend_category end as spend_category, case when c.key is null then erp.region else 'old' end as region,
- case when c.key is null then 'erp' end as source, case when c.key is null then true end as erp_loaded, case when supplier_name is not null then c.key is null end as was_new
+ case when c.key is null then 'ERP' end as source, case when c.key is null then true end as erp_loaded, case when supplier_name is not null then c.key is null end as was_new
 from c full join erp on supplier_name = c.key""",
     triples=True,
 )
@@ -409,17 +444,15 @@ def _(spark, d):
     return stats.emission_rows(tpch(spark, d))
 
 
-@query(
-    "jn6_chained_optional",
-    """with c as (select distinct s company from tri where p = 'HAS_SUPPLIER')
-select distinct c.company, m.o metric, n.o net_zero, r.o region, h.o supplier, t.o target from c left join tri m on m.s = c.company and m.p = 'REPORTS_EMISSION' left join tri n on n.s = c.company and n.p = 'COMMITS_TO_NET_ZERO'
-left join tri r on r.s = c.company and r.p = 'OPERATES_IN' left join tri h on h.s = c.company and h.p = 'HAS_SUPPLIER' left join tri t on t.s = c.company and t.p = 'SETS_TARGET'""",
-    graph=True,
-)
+_FACTS = """facts as (select distinct c.company, m.o emission, 'tCO2e' as unit, y.o "year", sc.o scope, n.o net_zero_year, h.o supplier from c
+left join tri m on m.s = c.company and m.p = 'REPORTS_EMISSION' left join tri y on y.s = m.o and y.p = 'MEASURED_IN_YEAR' left join tri sc on sc.s = m.o and sc.p = 'FALLS_UNDER_SCOPE'
+left join tri n on n.s = c.company and n.p = 'COMMITS_TO_NET_ZERO' left join tri h on h.s = c.company and h.p = 'HAS_SUPPLIER')"""
+
+
+@query("jn6_chained_optional", f"with c as (select distinct s company from tri where p = 'REPORTS_EMISSION'), {_FACTS} select * from facts", graph=True)
 def _(spark, d):
     g = tpch(spark, d)
-    companies = g.pattern("Company", ["HAS_SUPPLIER"], "Company", "company", "supplier").select("company").distinct()
-    return context.company_facts(g, companies)
+    return context.company_facts(g, g.pattern("Company", ["REPORTS_EMISSION"], "EmissionMetric", "company", "metric").select("company"))
 
 
 @query("jn7_unwind_contains", "with k(part) as (values ('#00000001'), ('#00000002')) select part, key as company from k join nodes on label = 'Company' and contains(lower(key), lower(part))", graph=True)
@@ -480,6 +513,21 @@ def _(spark, d):
     return resolve.drop_with_edges(tpch(spark, d), _mapping(spark)).edges
 
 
+#: Supplier records on three pairs of companies: duplicates that have more, other and no properties.
+_COPIED = """with r as (select erp_id, 'Company:' || supplier_name node_id from en_erp), two as (select min(node_id) filter (where node_id like '%Company:%') lo from r),
+pair as (select node_id can, lead(node_id) over (order by node_id) dup from (select distinct node_id from r)), map as (select can, dup from pair where dup is not null and can = (select lo from two)),
+taken as (select can node_id, k, v from map join en_props p on p.node_id = dup where k not in ('name', 'value')),
+after as (select node_id, k, v from en_props e where node_id not in (select dup from map) and not exists (select 1 from taken t where t.node_id = e.node_id and t.k = e.k) union all select node_id, k, v from taken)"""
+
+
+@query("jn14_property_copy", f"{_COPIED} select node_id as id, {_PROP_TEXT} as properties from after group by node_id", enriched=True)
+def _(spark, d):
+    names = _erp(spark, d).select("supplier_name").orderBy("supplier_name").limit(2)
+    mapping = names.agg(F.max("supplier_name").alias("name"), F.min("supplier_name").alias("canonical"))
+    nodes = resolve.drop_with_edges(enriched_graph(spark, d), mapping).nodes
+    return nodes.select(F.col("node_id").alias("id"), X.entries_text(F.col("props")).alias("properties"))
+
+
 @query("jn15_components")
 def _(spark, d):
     return resolve.components(resolve.duplicate_pairs(triple_graph(spark, d).label("Company"), "key"))
@@ -521,17 +569,25 @@ def _(spark, d):
     return tpch(spark, d).edges.agg(F.count("*").alias("n"))
 
 
-@query("ag3_filtered_count", "select count(*) filter (where tier is not null) as suppliers from erp_records")
+@query("ag3_filtered_count", "select count(*) as suppliers from en_nodes join en_props using (node_id) where label = 'Company' and k = 'supply_chain_tier'", enriched=True)
 def _(spark, d):
-    return table(spark, d, "erp_records").agg(F.count_if(F.col("tier").isNotNull()).alias("suppliers"))
+    tier = F.try_element_at("props", F.lit("supply_chain_tier"))
+    return enriched_graph(spark, d).nodes.agg(F.count_if((F.col("label") == "Company") & tier.isNotNull()).alias("suppliers"))
 
 
-_SUMMARY = "select (select count(*) from nodes) as total_nodes, (select count(*) from edges) as total_relationships, count(*) filter (where label = 'Company') as companies, count(*) filter (where label = 'EmissionMetric') as emission_metrics, count(*) filter (where label = 'Region') as regions, count(*) filter (where label = 'Facility') as facilities, (select count(*) from supplier) as suppliers from nodes"
+_SUMMARY = f"""with {_LATEST}, fresh as (select supplier_name from erp where 'Company:' || supplier_name not in (select node_id from nodes)),
+everyone as (select label from nodes union all select 'Company' from fresh)
+select count(*) as total_nodes, (select count(*) from edges) as total_relationships, count(*) filter (where label = 'Company') as companies, count(*) filter (where label = 'EmissionMetric') as emission_metrics,
+count(*) filter (where label = 'Region') as regions, count(*) filter (where label = 'Facility') as facilities, (select count(*) from erp where tier is not null) as suppliers from everyone"""
+
+
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    return stats.summary(enrich.load_suppliers(tpch(spark, d).written(), _erp(spark, d)))
 
 
 @query("ag4_label_pivot", _SUMMARY, graph=True)
 def _(spark, d):
-    return stats.summary(tpch(spark, d).written(), table(spark, d, "supplier"))
+    return _summary(spark, d)
 
 
 @query("ag5_count_by_category", "select o as category, count(*) as count from tri where p = 'BELONGS_TO_CATEGORY' group by o", graph=True)
@@ -607,7 +663,7 @@ _TIES = 'company, "year" nulls first, scope nulls first, metric'
 
 
 def _emissions_sql(limit: int, mode: str) -> str:
-    out = "select company, value, 'tCO2e' as unit, coalesce(\"year\", '') as \"year\", coalesce(scope, '') as scope from"
+    out = "select company, value, 'tCO2e' as unit, coalesce(\"year\", 'unknown') as \"year\", coalesce(scope, 'unknown') as scope from"
     if mode == "compat":
         return f"with {_EMISSIONS}, v as (select *, {_VALUE} as value from rows), top as (select * from v order by value desc nulls first, {_TIES} limit {limit}) {out} top where value is not null"
     return f"with {_EMISSIONS}, v as (select *, {_VALUE} as value from rows), top as (select * from v where value is not null order by value desc, {_TIES} limit {limit}) {out} top"
@@ -623,7 +679,8 @@ def _(spark, d):
     return stats.emissions(tpch(spark, d), 25000, "compat")
 
 
-_TOP5 = rf"with p as (select s company, o metric from tri where p = 'REPORTS_EMISSION') select company, metric as value from p order by {_VALUE} desc nulls first, company, metric limit 5"
+_TOP5 = rf"""select p.s as company, p.o as value, 'tCO2e' as unit, sc.o as scope from tri p left join tri sc on sc.s = p.o and sc.p = 'FALLS_UNDER_SCOPE' where p.p = 'REPORTS_EMISSION'
+order by {_VALUE.replace("metric", "p.o")} desc nulls first, company, value, scope nulls first limit 5"""
 
 
 @query("st2_top5_kept", _TOP5, graph=True)
@@ -631,10 +688,12 @@ def _(spark, d):
     return context.top_emitters(tpch(spark, d))
 
 
-@query("st3_multi_key_order", f"with {_GEO} select 'Region' as label, key as name, latitude, longitude from geo where latitude is not null order by label, name", triples=True)
+_GEOCODED = "select label, key as name, cast(a.v as double) as latitude, cast(o.v as double) as longitude from en_nodes join en_props a on a.node_id = en_nodes.node_id and a.k = 'latitude' join en_props o on o.node_id = en_nodes.node_id and o.k = 'longitude'"
+
+
+@query("st3_multi_key_order", _GEOCODED + " order by label, name", enriched=True)
 def _(spark, d):
-    found = enrich.geocode(triple_graph(spark, d).nodes, "Region", table(spark, d, "gazetteer"))
-    return found.where("latitude is not null").select(F.lit("Region").alias("label"), F.col("key").alias("name"), "latitude", "longitude").orderBy("label", "name")
+    return enrich.geocoded(enriched_graph(spark, d)).drop("props").orderBy("label", "name")
 
 
 @query("st4_count_order", "select p_type as category, count(*) as count from part group by 1 order by 2 desc, 1")
@@ -690,9 +749,10 @@ def _(spark, d):
     return stats.targets(tpch(spark, d))
 
 
-@query("so2_distinct_rows", 'select distinct l_returnflag, l_linestatus, cast(year(l_shipdate) as integer) as "year" from lineitem')
+@query("so2_distinct_rows", f"with c as (select distinct s company from tri where p = 'HAS_SUPPLIER'), {_FACTS} select * from facts", graph=True)
 def _(spark, d):
-    return table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.year("l_shipdate").alias("year")).distinct()
+    g = tpch(spark, d)
+    return context.company_facts(g, g.pattern("Company", ["HAS_SUPPLIER"], "Company", "company", "supplier").select("company"))
 
 
 @query("so3_distinct_ends", "select distinct src as node_id from edges union select dst from edges", graph=True)
@@ -809,7 +869,7 @@ def _(spark, d):
 
 @query("qy1_summary", _SUMMARY, graph=True)
 def _(spark, d):
-    return stats.summary(tpch(spark, d).written(), table(spark, d, "supplier"))
+    return _summary(spark, d)
 
 
 @query("qy2_emissions_fixed", _emissions_sql(50, "fixed"), graph=True)
@@ -817,9 +877,9 @@ def _(spark, d):
     return stats.emissions(tpch(spark, d), 50)
 
 
-@query("qy2_emissions_compat", _emissions_sql(500, "compat"), graph=True)
+@query("qy2_emissions_compat", _emissions_sql(30000, "compat"), graph=True)
 def _(spark, d):
-    return stats.emissions(tpch(spark, d), 500, "compat")
+    return stats.emissions(tpch(spark, d), 30000, "compat")
 
 
 @query("qy3_categories", "select o as category, count(*) as count from tri where p = 'BELONGS_TO_CATEGORY' group by o", graph=True)
@@ -832,20 +892,28 @@ def _(spark, d):
     return stats.targets(tpch(spark, d))
 
 
-@query("qy5_list_nodes", "select node_id, label, key from nodes where label = 'Company' order by key limit 50 offset 50", graph=True)
+@query("qy5_list_nodes", f"select node_id as id, label, key as name, {_PROP_TEXT} as properties from (select * from en_nodes where label = 'Company' order by key limit 50 offset 50) join en_props using (node_id) group by all", enriched=True)
 def _(spark, d):
-    return tpch(spark, d).label("Company").orderBy("key").offset(50).limit(50)
+    return _text(list_nodes(enriched_graph(spark, d), "Company", 50, 50))
 
 
-@query("qy6_search", _BM25, triples=True)
+@query("qy6_search", f"select 'Company:' || name as id, 'Company' as label, name, score from ({_BM25.replace('with names', 'with names')})".replace("from (with names", "from (with names"), triples=True)
 def _(spark, d):
-    return search.bm25(triple_graph(spark, d).label("Company"), "key", "Harbour Foods", 20)
+    found = search.bm25(triple_graph(spark, d).label("Company"), "key", "Harbour Foods", 20)
+    return found.select(F.concat(F.lit("Company:"), "name").alias("id"), F.lit("Company").alias("label"), "name", "score")
+
 
+_DETAIL = f"""with {_LAST_EDGE_PROPS}
+select 'node' as kind, node_id as source, cast(null as varchar) as target, label as type, {_PROP_TEXT} as properties from en_nodes join en_props using (node_id) where node_id = 'Region:Germany' group by node_id, label
+union all select 'edge', e.src, e.dst, e.type, {_PROP_TEXT} from tedges e left join em_last l on l.source = e.src and l.target = e.dst and l.type = e.type where e.src = 'Region:Germany' or e.dst = 'Region:Germany' group by e.src, e.dst, e.type"""
 
-@query("qy7_node_detail", f"select type, case when src = 'Company:{ROOT}' then 'out' else 'in' end as direction, count(*) n from edges where src = 'Company:{ROOT}' or dst = 'Company:{ROOT}' group by all", graph=True)
+
+@query("qy7_node_detail", _DETAIL, enriched=True)
 def _(spark, d):
-    _, e = traverse.node_detail(tpch(spark, d), "Company", ROOT)
-    return e.groupBy("type", F.when(F.col("src") == f"Company:{ROOT}", "out").otherwise("in").alias("direction")).agg(F.count("*").alias("n"))
+    g = enrich.load_coordinates(triple_graph(spark, d, True), ("Region", "Facility"), table(spark, d, "gazetteer"))
+    node, edges = traverse.node_detail(g, "Region", "Germany")
+    about = node_rows(node).select(F.lit("node").alias("kind"), F.col("id").alias("source"), F.lit(None).cast("string").alias("target"), F.col("label").alias("type"), "properties")
+    return _text(about.unionByName(edge_rows(edges).withColumn("kind", F.lit("edge"))))
 
 
 @query("qy8_ego_nodes", _ego_sql(2).rsplit("select distinct", 1)[0] + "select label, key from kept join nodes using (node_id)", graph=True)
@@ -853,40 +921,56 @@ def _(spark, d):
     return traverse.ego(tpch(spark, d).written(), f"Company:{ROOT}", 2).nodes.select("label", "key")
 
 
-@query("qy9_supply_chain", "select src, type, dst from tedges where type in ('HAS_SUPPLIER', 'SUPPLIES_TO') order by src, type, dst limit 500", triples=True)
+_CHAIN = f"""with {_LAST_EDGE_PROPS}, chain as (select * from tedges where type in ('HAS_SUPPLIER', 'SUPPLIES_TO') order by src, type, dst limit 500)"""
+
+
+@query("qy9_supply_chain", f"{_CHAIN} select src as source, dst as target, e.type, {_PROP_TEXT} as properties from chain e left join em_last l on l.source = e.src and l.target = e.dst and l.type = e.type group by src, dst, e.type", enriched=True)
 def _(spark, d):
-    return traverse.supply_chain(triple_graph(spark, d))
+    return _text(edge_rows(traverse.supply_chain(triple_graph(spark, d, True))))
 
 
-@query("qy9_map_nodes", f"with {_GEO} select 'Region' as label, key as name, latitude, longitude from geo where latitude is not null", triples=True)
+@query("qy9_supply_chain_nodes", f"{_CHAIN} select node_id as id, label, key as name, {_PROP_TEXT} as properties from en_nodes join en_props using (node_id) where node_id in (select src from chain union select dst from chain) group by all", enriched=True)
 def _(spark, d):
-    found = enrich.geocode(triple_graph(spark, d).nodes, "Region", table(spark, d, "gazetteer"))
-    return found.where("latitude is not null").select(F.lit("Region").alias("label"), F.col("key").alias("name"), "latitude", "longitude")
+    g = enriched_graph(spark, d)
+    return _text(node_rows(traverse.supply_chain_nodes(g, traverse.supply_chain(g))))
 
 
-@query(
-    "qy10_context_facts",
-    """with c as (select key as company from nodes where label = 'Company' and contains(lower(key), 'supplier#00000000')),
-f as (select distinct c.company, m.o metric, n.o net_zero, r.o region, h.o supplier, t.o target from c left join tri m on m.s = c.company and m.p = 'REPORTS_EMISSION' left join tri n on n.s = c.company and n.p = 'COMMITS_TO_NET_ZERO'
-left join tri r on r.s = c.company and r.p = 'OPERATES_IN' left join tri h on h.s = c.company and h.p = 'HAS_SUPPLIER' left join tri t on t.s = c.company and t.p = 'SETS_TARGET')
-select * from f order by company nulls first, metric nulls first, net_zero nulls first, region nulls first, supplier nulls first, target nulls first limit 20""",
-    graph=True,
-)
+@query("qy9_map_nodes", f"select g.label, g.name, g.latitude, g.longitude, x.extra from ({_GEOCODED}) g join ({_MAP_EXTRA}) x on x.label = g.label and x.name = g.name", enriched=True)
+def _(spark, d):
+    g = enrich.geocoded(enriched_graph(spark, d))
+    return g.select("label", "name", "latitude", "longitude", X.entries_text(X.extra_properties(F.col("props"), MAP_HIDDEN)).alias("extra"))
+
+
+_FACT_ORDER = 'company, emission nulls first, unit, "year" nulls first, scope nulls first, net_zero_year nulls first, supplier nulls first'
+
+
+@query("qy10_context_facts", f"with c as (select key as company from nodes where label = 'Company' and contains(lower(key), 'supplier#00000000')), {_FACTS} select * from facts order by {_FACT_ORDER} limit 20", graph=True)
 def _(spark, d):
     g = tpch(spark, d)
     companies = g.label("Company").where(X.contains_fold(F.col("key"), F.lit("Supplier#00000000"))).select(F.col("key").alias("company"))
     return context.facts(g, companies)
 
 
-@query("qy10_context_text")
+@query(
+    "qy10_context_text",
+    rf"""with c as (select key as company from nodes where label = 'Company' and contains(lower(key), 'supplier')), {_FACTS},
+f as (select *, row_number() over (order by {_FACT_ORDER}) r from facts qualify r <= 20),
+l as (select 1 part, r, 1 item, '- ' || company || ': ' || emission || ' ' || unit || ' (' || coalesce(scope, 'unknown scope') || ', ' || coalesce("year", 'unknown year') || ')' line from f where emission is not null
+  union all select 1, r, 2, '- ' || company || ': net-zero target by ' || net_zero_year from f where net_zero_year is not null
+  union all select 1, r, 3, '- ' || company || ' has supplier: ' || supplier from f where supplier is not null
+  union all select 2, r, 1, '- ' || company || ': ' || value || ' ' || unit || ' (' || coalesce(scope, 'unknown scope') || ')' from (select *, row_number() over (order by {_VALUE.replace("metric", "value")} desc nulls first, company, value, scope nulls first) r from ({_TOP5}))
+  union all select 3, row_number() over (order by o, s), 1, '- ' || s || ': net-zero by ' || o from tri where p = 'COMMITS_TO_NET_ZERO' qualify row_number() over (order by o, s) <= 10),
+t as (select part, case part when 1 then 'Specific company data:' when 2 then 'Top 5 emitters:' else 'Net-zero commitments:' end || chr(10) || string_agg(line, chr(10) order by r, item) as text from l group by part)
+select string_agg(text, chr(10) || chr(10) order by part) as context, (select string_agg(distinct company, '|' order by company) from f) as sources, true as context_used from t""",
+    graph=True,
+)
 def _(spark, d):
-    return context.context_text(tpch(spark, d), "What does Supplier commit to as a target?")
+    return context.context_text(tpch(spark, d), "is there a target of any Supplier#000000001?")
 
 
-@query("qy11_suggestions", "select unnest([1, 2, 3, 4, 5, 6, 7, 8]) as pos, unnest(['summary', 'emissions', 'categories', 'targets', 'suppliers', 'regions', 'net zero', 'scopes']) as topic")
+@query("qy11_suggestions", "select * from (values " + ", ".join(f"('{q}', '{c}')" for q, c in SUGGESTIONS) + ") t(question, category)")
 def _(spark, d):
-    topics = ["summary", "emissions", "categories", "targets", "suppliers", "regions", "net zero", "scopes"]
-    return spark.createDataFrame(list(enumerate(topics, 1)), "pos int, topic string")
+    return spark.createDataFrame(list(SUGGESTIONS), "question string, category string")
 
 
 def _resolution(spark: SparkSession, d: str, mode: str) -> DataFrame:
@@ -911,6 +995,12 @@ def _(spark, d):
     return resolve.redirect(g, mapping).edges
 
 
+@query("qy12_summary")
+def _(spark, d):
+    g = triple_graph(spark, d)
+    return resolve.redirected(g, resolve.components(resolve.duplicate_pairs(g.label("Company"), "key")))
+
+
 @query("qy13_ingest", "select 'node' as kind, label as name, count(*) n from tnodes group by label union all select 'edge', type, count(*) from tedges group by type", triples=True)
 def _(spark, d):
     g = triple_graph(spark, d)
@@ -927,9 +1017,15 @@ def _(spark, d):
     return enrich.upsert_stats(_upserted(spark, d))
 
 
-@query("qy15_geo_enrich", SQL["ag8_geo_stats"])
+_PLACED = "placed as (select label, case when latitude is null then 0 else 1 end as ok from tnodes left join gazetteer on name = key where label in ('Region', 'Facility'))"
+
+
+@query("qy15_geo_enrich", f"with {_PLACED} select label, count(*) as attempted, sum(ok)::bigint as geocoded, (count(*) - sum(ok))::bigint as failed from placed group by label", triples=True)
 def _(spark, d):
-    return enrich.geo_stats(enrich.geocode(triple_graph(spark, d).nodes, "Region", table(spark, d, "gazetteer")))
+    nodes, places = triple_graph(spark, d).nodes, table(spark, d, "gazetteer")
+    rows = [enrich.geo_stats(enrich.geocode(nodes, x, places)).select(F.lit(x).alias("label"), "*") for x in ("Region", "Facility")]
+    # A label without nodes has nothing attempted and no row in a grouping.
+    return rows[0].unionByName(rows[1]).where("attempted > 0")
 
 
 @query("qy16_select_and_extract")
@@ -967,10 +1063,10 @@ _HAVERSINE = "round(12742 * asin(sqrt(power(sin(radians(b.latitude - a.latitude)
 @query("ext_within_radius", f"select b.name, {_HAVERSINE} as km from gazetteer a, gazetteer b where a.name = 'Germany' and b.name <> 'Germany' and {_HAVERSINE} <= 8000")
 def _(spark, d):
     g = table(spark, d, "gazetteer")
-    a = F.broadcast(g.where("name = 'Germany'").select(F.col("latitude").alias("lat0"), F.col("longitude").alias("lon0")).limit(1))
-    half = lambda x, y: F.pow(F.sin(F.radians(F.col(x) - F.col(y)) / 2), 2)
-    km = F.round(12742 * F.asin(F.sqrt(half("latitude", "lat0") + F.cos(F.radians("lat0")) * F.cos(F.radians("latitude")) * half("longitude", "lon0"))), 3)
-    return g.where("name <> 'Germany'").join(a).select("name", km.alias("km")).where("km <= 8000")
+    lat0, lon0 = (g.where("name = 'Germany'").agg(F.first(c).alias(c)).scalar() for c in ("latitude", "longitude"))
+    half = lambda x, y: F.pow(F.sin(F.radians(F.col(x) - y) / 2), 2)
+    km = F.round(12742 * F.asin(F.sqrt(half("latitude", lat0) + F.cos(F.radians(lat0)) * F.cos(F.radians("latitude")) * half("longitude", lon0))), 3)
+    return g.where("name <> 'Germany'").select("name", km.alias("km")).where("km <= 8000")
 
 
 @query("ext_supplier_rollup", rf"select h.s as company, count(*) as metrics, sum({_VALUE.replace('metric', 'm.o')}) as total from tri h join tri m on m.s = h.o and m.p = 'REPORTS_EMISSION' where h.p = 'HAS_SUPPLIER' group by h.s", graph=True)

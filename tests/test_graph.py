@@ -210,7 +210,7 @@ def test_upsert_branches_and_second_run(spark):
     up = enrich.upsert_suppliers(nodes, erp)
     rows = {r.key: r for r in up.collect()}
     assert (rows["A"].region, rows["A"].annual_spend_usd, rows["A"].was_new, rows["A"].erp_loaded) == ("old", 1.0, False, None)
-    assert (rows["B"].region, rows["B"].was_new, rows["B"].source) == ("new", True, "erp")
+    assert (rows["B"].region, rows["B"].was_new, rows["B"].source) == ("new", True, "ERP")
     again = enrich.upsert_stats(enrich.upsert_suppliers(up.drop("was_new"), erp)).first()
     assert (again.created, again.updated) == (0, 2)
 
@@ -232,8 +232,8 @@ def test_candidates_history_and_context(spark):
     assert len(got) == 9 and max(len(r.content) for r in got) == 500
     g = Graph.from_triples(triples(spark, [("Alpha", "REPORTS_EMISSION", "5", None, "f"), ("Alpha", "COMMITS_TO_NET_ZERO", "2040", None, "f")]), ["pos"])
     text = context.context_text(g, "What is the target of Alpha").first()
-    assert text.context_used and "Alpha commits to net zero by 2040" in text.context
-    assert "commits" not in context.context_text(g, "Alpha in general").first().context
+    assert text.context_used and "- Alpha: net-zero by 2040" in text.context
+    assert "net-zero by" not in context.context_text(g, "Alpha in general").first().context
 
 
 def test_search(spark):
