@@ -2,8 +2,11 @@
 
 Pure SQL expressions: number and unit are cut out with regexp_extract, the unit's spelling is
 normalised by a join with an alias table, the text's unit overrules the unit column, which overrules
-a source default, and factor and offset are applied. One narrow scan, no shuffle: the alias table is
-a constant of a few hundred rows at most and is the only thing broadcast.
+a source default, and factor and offset are applied. A text is searched once for a number with its unit
+(and once more for a unit ahead of a number if there is none); the parts are then taken from what was
+found. The spellings of all units are one prefix tree in the pattern, so their number hardly matters.
+One narrow scan, no shuffle: the alias table is a constant of a few hundred rows at most and is the only
+thing broadcast.
 
 Defined results
 - null or empty text, no number, no unit, unknown unit: no row.
@@ -74,8 +77,21 @@ _NOT_A_QUANTITY = r"\b(?:fy|scopes?|iso|in|across|of|per|by|since|page|p\.|year|
 
 
 def _alternatives(words: set[str]) -> str:
-    """Longest first. A bare m straight after the digits is the sign for million, not the metre."""
-    return "|".join((r"(?<![0-9])" if a == "m" else "") + re.sub(r"([^\w °])", r"\\\1", a) for a in sorted(words, key=lambda a: (-len(a), a)))
+    """All words as one prefix tree, longest first. A bare m straight after the digits is the sign for million, not the metre."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = w
+
+    def pattern(node: dict) -> str:
+        ways = [re.sub(r"([^\w °])", r"\\\1", c) + pattern(child) for c, child in sorted(node.items()) if c]
+        if "" in node and (ways or node[""] == "m"):
+            ways.append("(?<![0-9]m)" if node[""] == "m" else "")
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})" if ways else ""
+
+    return pattern(tree)
 
 
 #: Blanks, quotes, minus signs and raised or lowered digits, each folded to the plain sign.
@@ -125,40 +141,52 @@ def to_common_units(rows: DataFrame, factors: DataFrame, id_col: str = "triple_i
         raise ValueError(f"a table of units has at most {MOST_UNITS} rows")
     units = _alternatives({a for v in aliases.values() for a in v} | set(listed))
     tail = r"(?![a-z0-9_])"
-    attached = rf"^(.*?)({_SIGN})({_NUMBER})({_SCALE})?\s*[\[(]?({units}){tail}(.*)$"
-    leading = rf"^(.*?)(?<![a-z0-9/.])({units}){tail}\s*[:=]?\s*({_SIGN})({_NUMBER})({_SCALE})?(?![a-z0-9/%])(.*)$"
+    # Found from the start of the text to the end of the match; what was matched stands at its end.
+    attached = rf"({_SIGN})({_NUMBER})({_SCALE})?\s*[\[(]?({units})"
+    leading = rf"({units}){tail}\s*[:=]?\s*({_SIGN})({_NUMBER})({_SCALE})?"
+    to_attached, to_leading = rf"^.*?{attached}{tail}", rf"^.*?(?<![a-z0-9/.]){leading}(?![a-z0-9/%])"
     column = rf"^[\[(]*\s*({_WORDS}|k|m)?\s*({units})\s*[\])]*$"
-    mark = "\x01"
+    single = rf"^([^0-9]*?)({_SIGN})({_NUMBER})({_SCALE})?(?![0-9])([^0-9]*)$"
+    money = r"[$€£%]|\b(?:percent|per|usd|eur|aud|gbp|hours?)\b"
+    part = lambda c, pattern, k: F.regexp_extract(c, pattern, k)
 
-    def groups(c: Column, pattern: str, *order: int) -> Column:
-        """One match of an anchored pattern gives all its groups, in the given order."""
-        return F.split(F.regexp_replace(F.translate(c, mark, " "), pattern, mark.join(f"${k}" for k in order)), mark)
+    def held(df: DataFrame, **columns: Column) -> DataFrame:
+        """Adds columns behind a Generate node, which keeps the optimizer from copying a match into every later expression."""
+        kept = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("cw_held")
+        return df.select("*", kept).select(*df.columns, "cw_held.*")
 
     base = rows.select(
         F.col(id_col).alias("cw_id"),
         fold_text(F.col(text_col)).alias("cw_t"),
         F.coalesce(F.nullif(fold_text(F.col(unit_col)), F.lit("")), fold_text(source_default) if source_default is not None else F.lit(None).cast("string")).alias("cw_u"),
     ).where(F.col("cw_t").rlike(r"\d"))
-    t, u = F.col("cw_t"), F.col("cw_u")
+    t, u, found_a, found_b, bare, m = (F.col(c) for c in ("cw_t", "cw_u", "cw_a", "cw_b", "cw_bare", "cw_m"))
+    none = F.lit("")
+    step = held(base, cw_a=part(t, to_attached, 0))
     # Without a unit in the text: the numbers that remain once years, scopes and counts of sites are set aside.
-    bare = F.regexp_replace(t, _NOT_A_QUANTITY, " ")
-    single = rf"^([^0-9]*?)({_SIGN})({_NUMBER})({_SCALE})?(?![0-9])([^0-9]*)$"
-    money = r"[$€£%]|\b(?:percent|per|usd|eur|aud|gbp|hours?)\b"
-    # Groups: before, sign, number, scale, unit, after, scale in the unit column.
-    in_column = F.concat(groups(F.when(~bare.rlike(money), bare), single, 1, 2, 3, 4), groups(u, column, 2), F.array(F.lit("")), groups(u, column, 1))
-    parts = (
-        F.when(t.rlike(attached), groups(t, attached, 1, 2, 3, 4, 5, 6))
-        .when(t.rlike(leading), groups(t, leading, 1, 3, 4, 5, 2, 6))
-        .when(u.rlike(column) & bare.rlike(single), in_column)
+    step = held(step, cw_b=F.when(found_a == "", part(t, to_leading, 0)).otherwise(none), cw_c=F.when((found_a == "") & u.isNotNull(), part(u, column, 2)).otherwise(none))
+    bared = F.when((found_a == "") & (found_b == "") & (F.col("cw_c") != ""), F.regexp_replace(t, _NOT_A_QUANTITY, " "))
+    step = held(step, cw_bare=bared).where((found_a != "") | (found_b != "") | (bare.rlike(single) & ~bare.rlike(money)))
+    step = held(step, cw_m=F.when(found_a != "", part(found_a, attached + "$", 0)).when(found_b != "", part(found_b, r"(?<![a-z0-9/.])" + leading + "$", 0)).otherwise(bare))
+    pick = lambda a, b, c: F.when(found_a != "", part(m, f"^{attached}$", a)).when(found_b != "", part(m, f"^{leading}$", b)).otherwise(part(m, single, c))
+    ended = F.when(found_a != "", found_a).otherwise(found_b)
+    in_text = (found_a != "") | (found_b != "")
+    cut = held(
+        step,
+        cw_before=F.when(in_text, F.left(ended, F.length(ended) - F.length(m))).otherwise(part(bare, single, 1)),
+        cw_after=F.when(in_text, F.substr(t, F.length(ended) + 1)).otherwise(none),
+        cw_sign=pick(1, 2, 2),
+        cw_number=pick(2, 3, 3),
+        cw_scale=pick(3, 4, 4),
+        cw_alias=F.when(found_a != "", part(m, f"^{attached}$", 4)).when(found_b != "", part(m, f"^{leading}$", 1)).otherwise(F.col("cw_c")),
+        cw_column_scale=F.when(in_text, none).otherwise(part(u, column, 1)),
     )
-    at = lambda k: F.get(F.col("cw_p"), F.lit(k))
-    # explode is the barrier that keeps the optimizer from copying the matches into every later expression.
-    cut = base.select("cw_id", F.explode(F.array(parts)).alias("cw_p")).where("cw_p is not null")
-    is_range = at(0).rlike(r"\d\s*[a-z.]*\s*(?:-|to|and|or|up to)\s*$|\bbetween\s*$|[$€£]\s*$|\b(?:aud|usd|eur)\s*$")
-    goes_on = at(5).rlike(r"^\s*(?:/|-|\^|[a-z]*\s*\bper\b)|\bper\b|^\s*(?:to|and|-)\s*\d|^[^a-z0-9]*(?:/|÷)\s*[a-z]")
-    sign = F.when(at(1) != "", -1.0).otherwise(1.0)
-    value = sign * number_value(at(2)) * scale_value(at(3)) * scale_value(at(6))
-    found = cut.where(~is_range & ~goes_on).select("cw_id", at(4).alias("cw_alias"), value.alias("cw_value")).where("cw_value is not null")
+    before, after = F.col("cw_before"), F.col("cw_after")
+    is_range = before.rlike(r"\d\s*[a-z.]*\s*(?:-|to|and|or|up to)\s*$|\bbetween\s*$|[$€£]\s*$|\b(?:aud|usd|eur)\s*$")
+    goes_on = after.rlike(r"^\s*(?:/|-|\^|[a-z]*\s*\bper\b)|\bper\b|^\s*(?:to|and|-)\s*\d|^[^a-z0-9]*(?:/|÷)\s*[a-z]")
+    sign = F.when(F.col("cw_sign") != "", -1.0).otherwise(1.0)
+    value = sign * number_value(F.col("cw_number")) * scale_value(F.col("cw_scale")) * scale_value(F.col("cw_column_scale"))
+    found = cut.where(~is_range & ~goes_on).select("cw_id", "cw_alias", value.alias("cw_value")).where("cw_value is not null")
     exact = F.col("cw_value") * F.col("cw_factor") + F.col("cw_offset")
     return found.join(small(alias_table(factors, aliases)), "cw_alias").select(
         F.col("cw_id").alias(id_col),
