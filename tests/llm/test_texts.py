@@ -150,6 +150,28 @@ def test_restores_a_hot_source_of_one_byte_letters(spark):
     assert {r.doc_id: r.restored for r in encoding.repair(df, "doc_id", "text", "lang", "source").collect()} == want
 
 
+SENTENCES = ["Le café près de l’hôtel a été rénové, très élégant à côté du château.", "La société a réduit ses émissions de gaz à effet de serre l’année dernière.", "Nos usines à Orléans et à Besançon ont été équipées de systèmes très performants.", "Les forêts gérées durablement abritent des espèces protégées.", "Ça a coûté cher, mais le résultat final était déjà à la hauteur.", "Où êtes-vous allés après le dîner près de la forêt ?"]
+
+
+@pytest.mark.parametrize(("written", "read"), [("utf-8", "cp1257"), ("utf-8", "cp866"), ("cp1252", "cp437")])
+def test_one_bad_source_of_any_page(spark, written, read):
+    rng = random.Random(1)
+    text = lambda: " ".join(rng.choice(SENTENCES) for _ in range(4))
+    docs = [(k, text(), "fr", f"s{k % 10}") for k in range(200)]
+    want = {1000 + k: text() for k in range(40)}
+    docs += [(k, garbled(t, written, read), "fr", "bad") for k, t in want.items()]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")
+    assert {r.doc_id: r.restored for r in encoding.repair(df, "doc_id", "text", "lang", "source").collect()} == want
+
+
+def test_what_stays_garbled_is_not_put_out_as_restored():
+    assert encoding.unresolved("caf├e pr├s") and not encoding.unresolved("SÃO ├─ kitchen │ x, 5 °C, m³")
+    model = encoding.LanguageModel([("fr", x, side, ctx, 50) for x in "éèô" for side in (0, 1) for ctx in "frtc s^"])
+    theta = {u: {"": 0.01, x: 0.99} for u, x in (("Ã©", "é"), ("Ã¨", "è"), ("Ã´", "ô"))}
+    assert encoding.restore("cafÃ© prÃ¨s cÃ´tÃ© Ð®Ð³", "fr", theta, model) == "café près côté Юг"
+    assert encoding.restore("cafÃ© Ð®Ð³", "fr", theta, model) == "café Ð®Ð³"
+
+
 def test_clean_or_empty_texts(spark):
     df = spark.createDataFrame([(1, "ok", "en", "s"), (2, None, None, None)], "doc_id bigint, text string, lang string, source string")
     assert encoding.repair(df, "doc_id", "text", "lang", "source").count() == 0
