@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HARD_MAX, SOFT_MAX, LEAST = 4000, 3800, 100
@@ -60,6 +60,23 @@ def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"doc {kind}, pos int, chunk string")
 
 
+def title_sections(elements: DataFrame, doc: Column, order: list[str], type_col: str = "element_type", text_col: str = "text") -> DataFrame:
+    """doc, section, text: a title opens a section of its document, what stands before the first is section 0; texts in order, blank ones left out."""
+    w = Window.partitionBy("doc").orderBy(*order)
+    e = elements.select(doc.alias("doc"), *order, F.col(type_col).alias("cw_type"), F.col(text_col).alias("cw_text")).where("doc is not null")
+    e = e.withColumn("section", F.sum(F.when(F.col("cw_type") == "Title", 1).otherwise(0)).over(w)).where(F.trim("cw_text") != "")
+    parts = F.array_sort(F.collect_list(F.struct(*order, "cw_text")))
+    return e.groupBy("doc", "section").agg(F.array_join(F.transform(parts, lambda x: x["cw_text"]), "\n\n").alias("text"))
+
+
+def chunks_by_title(elements: DataFrame, doc: Column, order: list[str], type_col: str = "element_type", text_col: str = "text") -> DataFrame:
+    """doc, section, pos, chunk: sections cut and packed by length, never across a title."""
+    s = title_sections(elements, doc, order, type_col, text_col).select(F.to_json(F.struct("doc", "section")).alias("id"), "text")
+    c = chunks(s, "id", "text")
+    at = F.from_json("doc", "doc string, section bigint")
+    return c.select(at["doc"].alias("doc"), at["section"].alias("section"), "pos", "chunk")
+
+
 def select_chunks(elements: DataFrame, type_col: str = "element_type", text_col: str = "text", least: int = LEAST) -> DataFrame:
     return elements.where(F.col(type_col).isin(*KEPT_TYPES) & (F.length(text_col) >= least))
 

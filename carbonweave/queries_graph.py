@@ -77,6 +77,10 @@ en_props as (select node_id, case when label in ('EmissionMetric', 'Year') then
 _PROP_TEXT = "coalesce(string_agg(k || '=' || v, ';' order by k || '=' || v), '')"
 
 
+#: A page of a source stands for a parsed document.
+_page = lambda: F.concat_ws("|", F.coalesce("source", F.lit("")), F.coalesce(F.col("page_no"), F.lit(0)).cast("string"))
+
+
 def tpch(spark: SparkSession, d: str) -> Graph:
     return fixture_graph.graph(spark, d)
 
@@ -144,6 +148,20 @@ def _(spark, d):
     return chunking.chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query(
+    "sc5_title_sections",
+    """with e as (select coalesce(source, '') || '|' || coalesce(page_no, 0) as doc, doc_id, text, sum(case when element_type = 'Title' then 1 else 0 end) over (partition by coalesce(source, '') || '|' || coalesce(page_no, 0) order by doc_id) as section from documents)
+select doc, cast(section as bigint) as section, string_agg(text, chr(10) || chr(10) order by doc_id) as text from e where trim(text, ' ') <> '' group by all""",
+)
+def _(spark, d):
+    return chunking.title_sections(table(spark, d, "documents"), _page(), ["doc_id"])
+
+
+@query("sc5_chunks_by_title")
+def _(spark, d):
+    return chunking.chunks_by_title(table(spark, d, "documents"), _page(), ["doc_id"])
+
+
 @query("sc5_paragraphs", r"""with s as (select doc_id as doc, unnest(string_split_regex(text, '\n\s*\n')) paragraph, generate_subscripts(string_split_regex(text, '\n\s*\n'), 1) - 1 as pos from documents)
 select doc, cast(pos as integer) pos, paragraph from s where trim(paragraph) <> ''""")
 def _(spark, d):
@@ -181,7 +199,15 @@ def _(spark, d):
     return n.unionByName(e)
 
 
-@query("sc13_erp_source")
+_HASH = lambda salt: f"(('0x' || substr(md5('{salt}' || s_name), 1, 8))::bigint % 1000003)"
+_PICK = lambda salt, xs: f"{list(xs)}[{_HASH(salt)} % {len(xs)} + 1]"
+
+
+@query(
+    "sc13_erp_source",
+    f"""select s_name as supplier_name, round(500000 + {_HASH("spend")} * 49.5, 2) as annual_spend_usd, {_PICK("category", SPEND_CATEGORIES)} as spend_category, {_PICK("region", REGIONS)} as region,
+cast(case when {_HASH("tier")} % 5 < 3 then 1 else 2 end as integer) as tier, {_HASH("active")} % 4 <> 0 as contract_active from (select distinct s_name from supplier order by s_name limit 20)""",
+)
 def _(spark, d):
     return files.erp_fixture(table(spark, d, "supplier"), "s_name", list(SPEND_CATEGORIES), list(REGIONS))
 

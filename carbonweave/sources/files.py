@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,8 +68,9 @@ def read_reports(spark: SparkSession, path: str, pattern: str = "*.pdf") -> Data
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
-def first_n_distinct(df: DataFrame, key: str, order: list[str], n: int = 5) -> DataFrame:
-    """The first row of each key, and of those the first n."""
+def first_n_distinct(df: DataFrame, key: str, order: list[str], n: int = 5, succeeded: Column | None = None) -> DataFrame:
+    """The first row of each key, and of those the first n. A row that did not succeed is not seen: a later one of its key takes its place."""
+    df = df if succeeded is None else df.where(F.coalesce(succeeded, F.lit(False)))
     first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order)).alias("o"))
     return first.orderBy(*[f"o.{c}" for c in order]).limit(n).select(key, "o.*")
 
@@ -85,14 +86,18 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy("type").parquet(f"{path}/edges")
 
 
-def preflight(path: str, pattern: str = ".json") -> bool:
-    """Whether the folder is there and holds at least one input."""
-    return os.path.isdir(path) and any(f.endswith(pattern) for f in os.listdir(path))
+def preflight(path: str, pattern: str = ".json", spark: SparkSession | None = None) -> bool:
+    """Whether the folder is there and holds at least one input; with a session, on whatever storage it reaches."""
+    if spark is None:
+        return os.path.isdir(path) and any(f.endswith(pattern) for f in os.listdir(path))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, f"*{pattern}"))
+    return found is not None and len(found) > 0
 
 
 def erp_fixture(names: DataFrame, column: str, categories: list[str], regions: list[str], n: int = 20) -> DataFrame:
     """Deterministic supplier records for names, in place of a random mock: every column follows from a hash of the name."""
-    h = lambda salt: F.pmod(F.crc32(F.concat(F.lit(salt), F.col(column))), F.lit(1_000_003))
+    h = lambda salt: F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col(column)).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(1_000_003))
     pick = lambda salt, xs: F.element_at(F.array(*map(F.lit, xs)), (h(salt) % len(xs) + 1).cast("int"))
     base = names.select(column).distinct().orderBy(column).limit(n)
     return base.select(F.col(column).alias("supplier_name"), F.round(500_000 + h("spend") * 49.5, 2).alias("annual_spend_usd"), pick("category", categories).alias("spend_category"), pick("region", regions).alias("region"), F.when(h("tier") % 5 < 3, 1).otherwise(2).alias("tier"), (h("active") % 4 != 0).alias("contract_active"))

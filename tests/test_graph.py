@@ -267,6 +267,62 @@ def test_json_sources(spark, tmp_path):
     assert files.preflight(str(tmp_path / "e")) and not files.preflight(str(tmp_path / "none"))
 
 
+def test_log_sink_is_set_up_once(tmp_path, monkeypatch):
+    import logging
+
+    from carbonweave.logs import setup_logging
+
+    root = logging.getLogger()
+    monkeypatch.setattr(root, "handlers", [])
+    for _ in range(2):
+        setup_logging(tmp_path / "a" / "run.log")
+    assert len(root.handlers) == 2
+    logging.getLogger("x").warning("été")
+    assert "| WARNING  | x |  été" in (tmp_path / "a" / "run.log").read_text("utf-8")
+    root.handlers[1].close()
+
+
+def test_connect_and_preflight(spark, tmp_path, monkeypatch):
+    from carbonweave.session import SessionError, connect
+
+    monkeypatch.delenv("SPARK_MASTER", raising=False)
+    with pytest.raises(SessionError):
+        connect()
+    assert connect("local[4]") is spark
+    assert not files.preflight(f"file://{tmp_path}", spark=spark)
+    (tmp_path / "x.json").write_text("[]")
+    assert files.preflight(f"file://{tmp_path}", spark=spark) and not files.preflight(f"file://{tmp_path}/none", spark=spark)
+
+
+def test_failed_rows_are_not_seen(spark):
+    df = spark.createDataFrame([(1, "a", False), (2, "a", True), (3, "b", None), (4, "c", True)], "pos int, url string, ok boolean")
+    assert [(r.url, r.pos) for r in files.first_n_distinct(df, "url", ["pos"], 5, F.col("ok")).collect()] == [("a", 2), ("c", 4)]
+
+
+def test_chunks_do_not_cross_titles(spark):
+    rows = [("d", 1, "Text", "before"), ("d", 2, "Title", "One"), ("d", 3, "Text", "x" * 3000), ("d", 4, "Table", "y" * 1500), ("d", 5, "Title", "Two"), ("d", 6, "Text", None), ("e", 1, "Text", " "), ("e", 2, "Text", "only")]
+    df = spark.createDataFrame(rows, "doc string, pos int, element_type string, text string")
+    got = sorted((r.doc, r.section, r.pos, r.chunk) for r in chunking.chunks_by_title(df, F.col("doc"), ["pos"]).collect())
+    assert got == [("d", 0, 0, "before"), ("d", 1, 0, "One\n\n" + "x" * 3000), ("d", 1, 1, "y" * 1500), ("d", 2, 0, "Two"), ("e", 0, 0, "only")]
+
+
+def test_node_properties(spark):
+    t = triples(spark, [("A", "OPERATES_IN", "Oslo", None, "f"), ("A", "OPERATES_IN", "Nowhere", None, "f")])
+    erp = spark.createDataFrame([("A", 1.5, "c", "new", 1, True), ("B", 2.0, None, "new", None, False)], "supplier_name string, annual_spend_usd double, spend_category string, region string, tier int, contract_active boolean")
+    places = spark.createDataFrame([("Oslo", 59.9, 10.7)], "name string, latitude double, longitude double")
+    g = enrich.load_coordinates(enrich.load_suppliers(Graph.from_triples(t, ["pos"]), erp), ("Region",), places)
+    props = {r.node_id: r.props for r in g.nodes.collect()}
+    assert props["Company:A"] == {"name": "A", "_is_new": "false", "annual_spend_usd": "1.50", "supply_chain_tier": "1", "contract_active": "true"}
+    assert props["Company:B"] == {"name": "B", "_is_new": "true", "annual_spend_usd": "2.00", "contract_active": "false", "erp_loaded": "true", "region": "new", "source": "ERP"}
+    assert props["Region:Oslo"]["latitude"] == "59.900000" and props["Region:Nowhere"] == {"name": "Nowhere", "geocode_failed": "true"}
+    assert stats.summary(g).first().suppliers == 1
+    again = {r.node_id: r.props for r in enrich.load_suppliers(g, erp).nodes.collect()}
+    assert again["Company:B"]["_is_new"] == "false" and again["Company:B"]["source"] == "ERP"
+    m = spark.createDataFrame([("B", "A")], "name string, canonical string")
+    merged = {r.node_id: r.props for r in resolve.drop_with_edges(g, m).nodes.collect()}
+    assert merged["Company:A"]["annual_spend_usd"] == "2.00" and merged["Company:A"]["name"] == "A" and "Company:B" not in merged
+
+
 def test_settings_fall_back():
     s = files.Settings.from_env({"SIMILARITY_THRESHOLD": "ninety", "MAX_RETRIES": "5"})
     assert (s.similarity_threshold, s.max_retries) == (85.0, 5)
