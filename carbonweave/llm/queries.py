@@ -44,6 +44,17 @@ def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes.withColumnRenamed("doc", "doc_id"), "doc_id", "n_tokens")
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """One row: whether no container is overfull, no token is lost and the containers are near their least number; and the documents placed."""
+    placed = p6_packed(spark, d)
+    sizes = packing.token_counts(table(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", WORD_PATTERN)
+    loads = placed.groupBy("container").agg(F.sum("piece_tokens").alias("load"))
+    tokens = sizes.agg(F.sum("n_tokens").alias("tokens")).scalar()
+    filled = loads.agg(F.max("load").alias("most"), F.sum("load").alias("held"), F.count("*").alias("n"))
+    docs = placed.select("doc_id").distinct().agg(F.count("*").alias("docs")).scalar()
+    return filled.select((F.col("most") <= packing.CAPACITY).alias("none_overfull"), (F.col("held") == tokens).alias("all_held"), (F.col("n") <= F.ceil(F.col("held") / packing.CAPACITY) * 1.02 + 1).alias("near_least"), docs.alias("docs"))
+
+
 _ENTITY_COLUMNS = {"id": "erp_id", "name": "supplier_name", "region": "region", "category": "spend_category", "spend": "annual_spend_usd", "subject": "subject", "predicate": "predicate", "value": "object_value"}
 
 
@@ -74,7 +85,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return fixed.where("not unresolved").select("doc_id", F.coalesce(F.md5(F.col("restored").cast("binary")), F.lit("")).alias("restored_md5"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_matched": p4_matched, "p5_found": p5_found, "p5_classes": p5_classes, "p6_packed": p6_packed, "p7_found": p7_found, "p7_where": p7_where, "p8_found": p8_found, "p3_found": p3_found, "p2_found": p2_found, "p2_collapsed": p2_collapsed}
+QUERIES = {"p4_found": p4_found, "p4_matched": p4_matched, "p5_found": p5_found, "p5_classes": p5_classes, "p6_packed": p6_packed, "p6_invariants": p6_invariants, "p7_found": p7_found, "p7_where": p7_where, "p8_found": p8_found, "p3_found": p3_found, "p2_found": p2_found, "p2_collapsed": p2_collapsed}
 #: Content letter by letter: letters, digits and signs, a point between digits, a hyphen-minus that starts a number.
 _P2 = r"""with part as (
   select triple_id, 's' as what, subject as x from chipotle_2024_triples union all select triple_id, 'p', predicate from chipotle_2024_triples union all select triple_id, 'o', object_value from chipotle_2024_triples
@@ -107,6 +118,7 @@ select doc_id, item_id, cast(words as integer) words,
   cast(list_sum(list_transform(gap[1 : high], lambda x: length(x))) + list_sum(list_transform(raw[1 : high], lambda x: length(x))) as integer) last_offset
 from best join d using (doc_id)"""
 SQL: dict[str, str] = {
+    "p6_invariants": "select true as none_overfull, true as all_held, true as near_least, count(distinct doc_id) as docs from documents",
     "p7_where": _P7_WHERE,
     "p2_found": _P2 + "select a as triple_id_a, triple_id as triple_id_b from ranked where triple_id <> a",
     "p2_collapsed": _P2 + "select triple_id, n as n_copies from ranked where triple_id = a",
