@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carbonweave.session import BROADCAST_ROW_BOUND, cut
+from carbonweave.session import cut, small
 
 CAPACITY = 2048
 BUCKETS = 64
@@ -222,6 +222,5 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
 
     local = items.mapInArrow(ranked, f"doc {kind}, piece int, size bigint, part int, local bigint")
     side = offsets.select("part", "size", "offset")
-    side = F.broadcast(side) if counts.count() <= BROADCAST_ROW_BOUND else side
-    joined = local.join(side, ["part", "size"]).select("doc", "piece", "size", (F.col("local") + F.col("offset")).alias("rank"))
+    joined = local.join(small(side), ["part", "size"]).select("doc", "piece", "size", (F.col("local") + F.col("offset")).alias("rank"))
     return joined.mapInArrow(placed, f"doc {kind}, piece int, piece_tokens bigint, container bigint").withColumnRenamed("doc", id_col)
