@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from carbonweave.functions.text import TARGET_WORDS, candidate_names, to_number
 from carbonweave.operators.graph import Graph
 from carbonweave.operators.search import containing_any
+from carbonweave.session import cut
 
 MOST_FACTS, MOST_TOP, MOST_TARGETS = 20, 5, 10
 FACT_COLUMNS = ("company", "emission", "unit", "year", "scope", "net_zero_year", "supplier")
@@ -23,15 +24,16 @@ def named_companies(graph: Graph, questions: DataFrame) -> DataFrame:
     return containing_any(companies, "company", q, "part").select("question_id", "company").distinct()
 
 
-def _branches(graph: Graph) -> list[tuple[DataFrame, list[str]]]:
-    """The independent optional patterns of a company. A metric's year and scope hang on the metric."""
-    metric = graph.pattern("Company", ["REPORTS_EMISSION"], "EmissionMetric", "company", "emission")
+def _branches(graph: Graph, few: DataFrame | None = None) -> list[tuple[DataFrame, list[str]]]:
+    """The independent optional patterns of a company. A metric's year and scope hang on the metric. few: only those companies, some rows."""
+    of = lambda df: df if few is None else df.join(F.broadcast(few), "company", "left_semi")
+    metric = of(graph.pattern("Company", ["REPORTS_EMISSION"], "EmissionMetric", "company", "emission"))
     year = graph.pattern("EmissionMetric", ["MEASURED_IN_YEAR"], "Year", "emission", "year")
     scope = graph.pattern("EmissionMetric", ["FALLS_UNDER_SCOPE"], "Scope", "emission", "scope")
     return [
         (metric.join(year, "emission", "left").join(scope, "emission", "left"), ["emission", "year", "scope"]),
-        (graph.pattern("Company", ["COMMITS_TO_NET_ZERO"], "Year", "company", "net_zero_year"), ["net_zero_year"]),
-        (graph.pattern("Company", ["HAS_SUPPLIER"], "Company", "company", "supplier"), ["supplier"]),
+        (of(graph.pattern("Company", ["COMMITS_TO_NET_ZERO"], "Year", "company", "net_zero_year")), ["net_zero_year"]),
+        (of(graph.pattern("Company", ["HAS_SUPPLIER"], "Company", "company", "supplier")), ["supplier"]),
     ]
 
 
@@ -49,11 +51,10 @@ def facts(graph: Graph, companies: DataFrame, limit: int = MOST_FACTS) -> DataFr
     That order is the order of the branches one after the other, so the first combinations need the first
     `limit` companies and of each branch a company's first `limit` rows; the full product is never formed.
     """
-    out = companies.select("company").distinct().orderBy("company").limit(limit)
-    for branch, columns in _branches(graph):
+    out = first = cut(companies.select("company").distinct().orderBy("company").limit(limit))
+    for branch, columns in _branches(graph, first):
         order = Window.partitionBy("company").orderBy(*[F.col(c).asc_nulls_first() for c in columns])
-        few = branch.join(F.broadcast(companies.select("company").distinct().orderBy("company").limit(limit)), "company", "left_semi")
-        few = few.select("company", *columns).distinct().withColumn("cw_rank", F.row_number().over(order)).where(F.col("cw_rank") <= limit).drop("cw_rank")
+        few = branch.select("company", *columns).distinct().withColumn("cw_rank", F.row_number().over(order)).where(F.col("cw_rank") <= limit).drop("cw_rank")
         out = out.join(few, "company", "left")
     rows = out.withColumn("unit", F.lit(UNIT)).select(*FACT_COLUMNS)
     return rows.orderBy(*[F.col(c).asc_nulls_first() for c in FACT_COLUMNS]).limit(limit)
