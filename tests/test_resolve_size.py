@@ -46,3 +46,25 @@ def test_pairs_of_any_length(threshold):
 def test_groups_of_lengths():
     assert resolve._groups({3: 4, 5: 5, 6: 30, 9: 1, 1000: 2}, 10) == [(3, 5, 1), (6, 6, 3), (9, 1000, 1)]
     assert resolve._groups({}, 10) == []
+
+
+@pytest.mark.parametrize("few", [0, 50, 10_000])
+def test_long_chains_are_connected_in_few_rounds(spark, monkeypatch, few):
+    """A chain of 300 names, a star and a pair; one step a round needed 300 rounds."""
+    rng = random.Random(5)
+    order = rng.sample(range(1000, 1300), 300)
+    links = [(f"n{a}", f"n{b}") for a, b in zip(order, order[1:])] + [("hub", f"s{k}") for k in range(20)] + [("x", "yy")]
+    cuts = []
+
+    def cut(df, real=resolve.cut):
+        cuts.append(1)
+        assert len(cuts) < 40
+        return real(df)
+
+    monkeypatch.setattr(resolve, "cut", cut)
+    monkeypatch.setattr(resolve, "_FEW_LINKS", few, raising=False)
+    pairs = spark.createDataFrame(links, "canonical string, duplicate string")
+    got = {r.name: r.canonical for r in resolve.components(pairs).collect()}
+    want = {f"n{k}": "n1000" for k in order} | {f"s{k}": "hub" for k in range(20)} | {"hub": "hub", "x": "yy", "yy": "yy"}
+    assert got == want
+    assert resolve.components(pairs.limit(0)).count() == 0
