@@ -6,6 +6,7 @@ import time
 import pytest
 
 from carbonweave.operators import nearby, resolve
+from carbonweave.operators.graph import Graph
 
 
 def like_names(rng, n):
@@ -68,3 +69,13 @@ def test_long_chains_are_connected_in_few_rounds(spark, monkeypatch, few):
     want = {f"n{k}": "n1000" for k in order} | {f"s{k}": "hub" for k in range(20)} | {"hub": "hub", "x": "yy", "yy": "yy"}
     assert got == want
     assert resolve.components(pairs.limit(0)).count() == 0
+
+
+def test_summary_reads_the_edges_once(spark, tmp_path):
+    rows = [("Company:d", "T", "Company:c"), ("Company:c", "T", "Company:d"), ("Company:x", "T", "Company:d"), ("Company:d", "T", "Company:d"), ("Company:x", "T", "Company:y")]
+    spark.createDataFrame(rows, "src string, type string, dst string").write.parquet(f"{tmp_path}/e")
+    g = Graph(spark.createDataFrame([], "node_id string, label string, key string"), spark.read.parquet(f"{tmp_path}/e"))
+    out = resolve.redirected(g, spark.createDataFrame([("d", "c"), ("c", "c")], "name string, canonical string"))
+    # Outgoing: d-c, d-d; incoming but from the canonical: x-d, d-d.
+    assert [tuple(r) for r in out.collect()] == [(1, 1, 4)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [src") == 1
