@@ -4,7 +4,9 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from carbonweave.functions.text import BLANKS, strip
 from carbonweave.operators import nearby, resolve
 from carbonweave.operators.graph import Graph
 
@@ -79,3 +81,10 @@ def test_summary_reads_the_edges_once(spark, tmp_path):
     # Outgoing: d-c, d-d; incoming but from the canonical: x-d, d-d.
     assert [tuple(r) for r in out.collect()] == [(1, 1, 4)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [src") == 1
+
+
+def test_strip_takes_all_blanks_off_both_ends(spark):
+    texts = ["", " ", "a", " a", "a ", "　a b\x85", "a\n", "a \r\n", "\n\na ", "a b", "\x1c", "\U0001f600 ", "​a", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(F.regexp_replace("t", f"^{BLANKS}+|{BLANKS}+$", ""), F.lit(""))
+    assert [r.got for r in df.select(strip(F.col("t")).alias("got")).collect()] == [r.want for r in df.select(plain.alias("want")).collect()]
